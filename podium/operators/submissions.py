@@ -158,7 +158,7 @@ def rate_limit_excess(scores, limit=RATE_LIMIT, unit="minute", bound=None):
 
 
 def play_sessions(scores, gap_minutes=30, bound=None):
-    """Play sessions: a user's submissions with pauses of less than ``gap_minutes``.
+    """Play sessions: a user's submissions with pauses of at most ``gap_minutes``.
 
     One row per session: start, end (last submission), submissions, length in seconds.
     """
@@ -168,7 +168,7 @@ def play_sessions(scores, gap_minutes=30, bound=None):
         "_last", "submitted_at"
     )
     pause = F.timestamp_diff("MICROSECOND", F.col("_last"), F.col("submitted_at"))
-    starts = F.when(F.col("_last").isNull() | (pause >= gap), F.col("submitted_at"))
+    starts = F.when(F.col("_last").isNull() | (pause > gap), F.col("submitted_at"))
     seq.rows = seq.rows.withColumn("_start", starts)
     # The session of a row is the latest start up to it.
     seq.running("session_start", F.max, F.greatest, "_start", inclusive=True)
