@@ -37,23 +37,18 @@ def percentiles(rows, col, points, names):
         F.array(*[f(a).cast("bigint") for a in at for f in (F.floor, F.ceil)])
     )
     first = F.col("upto") - F.col("n")
-    wanted = parts.withColumn(
-        "ends", F.filter(ends, lambda e: (e >= first) & (e < F.col("upto")))
-    ).filter(F.size("ends") > 0)
-    wanted = wanted.select("h", first.alias("start"), "ends", "total")
-
-    # The wanted parts are at most 2 * len(points) rows.
+    # At most 2 * len(points) rows.
+    wanted = parts.filter(F.exists(ends, lambda e: (e >= first) & (e < F.col("upto"))))
+    wanted = F.broadcast(wanted.select("h", first.alias("start"), "total"))
     values = (
         keyed.withColumn("h", high)
-        .join(F.broadcast(wanted.select("h")), "h", "left_semi")
-        .groupBy("h", "k")
+        .join(wanted, "h")
+        .groupBy("h", "start", "total", "k")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("in_part", F.sum("n").over(_upto(["h"], "k")))
-        .join(F.broadcast(wanted), "h")
+        .withColumn("upto", F.col("start") + F.sum("n").over(_upto(["h"], "k")))
     )
-    upto = F.col("start") + F.col("in_part")
     values = values.withColumn(
-        "ends", F.filter("ends", lambda e: (e >= upto - F.col("n")) & (e < upto))
+        "ends", F.filter(ends, lambda e: (e >= first) & (e < F.col("upto")))
     ).filter(F.size("ends") > 0)
     found = values.select(F.explode("ends").alias("pos"), (F.col("k") / 100.0).alias("v"), "total")
 

@@ -11,21 +11,17 @@ from pyspark.sql import functions as F
 LOW_BITS = 20
 
 
-def running_before(counts, group, key, count="n", out="before"):
+def running_before(counts, group, key, totals, count="n", out="before"):
     """For rows unique in (group, key): the sum of ``count`` over smaller keys of the group.
 
-    ``key`` is a bigint as made by :func:`podium.functions.values.sort_key`.
+    ``key`` is a bigint as made by :func:`podium.functions.values.sort_key`. ``totals`` has the sum
+    of ``count`` per group and high part, in the columns ``_high`` and ``_total``.
     """
     high = [*group, "_high"]
     w_low = Window.partitionBy(*high).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    fine = counts.withColumn("_high", F.shiftright(F.col(key), LOW_BITS)).withColumn(
+    fine = counts.withColumn("_high", high_part(key)).withColumn(
         "_low_before", F.coalesce(F.sum(count).over(w_low), F.lit(0))
     )
-    totals = (
-        counts.withColumn("_high", F.shiftright(F.col(key), LOW_BITS))
-        .groupBy(*high)
-        .agg(F.sum(count).alias("_total"))
-    )
     w_high = Window.partitionBy(*group).orderBy("_high").rowsBetween(Window.unboundedPreceding, -1)
     coarse = totals.select(
         *high, F.coalesce(F.sum("_total").over(w_high), F.lit(0)).alias("_high_before")
@@ -37,10 +33,19 @@ def running_before(counts, group, key, count="n", out="before"):
     )
 
 
+def high_part(key):
+    return F.shiftright(F.col(key), LOW_BITS)
+
+
 def value_ranks(rows, group, key, out="rank"):
     """Distinct (group, key) with row count ``n`` and competition rank, best (smallest) key first."""
     counts = rows.groupBy(*group, key).agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_before(counts, group, key)
+    # From the rows again: combined before the shuffle, this is small, while deriving it from the
+    # counts would shuffle all distinct values a second time.
+    totals = rows.groupBy(*group, high_part(key).alias("_high")).agg(
+        F.count(F.lit(1)).alias("_total")
+    )
+    ranked = running_before(counts, group, key, totals)
     return ranked.withColumn(out, (F.col("before") + 1).cast("bigint")).drop("before")
 
 

@@ -6,7 +6,8 @@ beyond it are range-partitioned by their order, so each piece has about ``bound`
 are scanned like small groups, and what each piece must know of the earlier ones (rows so far,
 last value, best so far) is added from a table with one row per piece.
 
-``order`` must be unique within a group; group columns must not be null.
+``order`` must be unique within a group; group columns must not be null. Where ``rows`` is costly,
+``counted`` names a cheaper table with (at least) the same rows per group to take the counts from.
 """
 
 import math
@@ -26,14 +27,15 @@ WHOLE = -1
 class Sequence:
     """Rows of each group in ``order`` (ascending column names), ready for ordered scans."""
 
-    def __init__(self, rows, group, order, bound=None):
+    def __init__(self, rows, group, order, bound=None, counted=None):
         self.group = list(group)
         self.order = list(order)
         self.bound = bound or GROUP_BOUND
-        self.rows, self.split = self._pieces(rows)
+        self.rows, self.split = self._pieces(rows, rows if counted is None else counted)
 
-    def _pieces(self, rows):
-        hot = rows.groupBy(*self.group).count().filter(F.col("count") > self.bound)
+    def _pieces(self, rows, counted):
+        sizes = counted.groupBy(*self.group).count()
+        hot = sizes.filter(F.col("count") > self.bound)
         keys, total = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum("count"), F.lit(0))).first()
         if not keys:
             return rows.withColumn(PIECE, F.lit(WHOLE)), False

@@ -60,17 +60,9 @@ def event_key(ts="submitted_at", id="id"):
     return ((micros * shift).cast("decimal(38,0)") + F.col(id)).cast("decimal(38,0)")
 
 
-def json_text(key, col="metadata"):
-    return F.get_json_object(F.col(col), f"$.{key}")
-
-
-def json_number(key, col="metadata"):
-    """A JSON number as double; null when absent or not a number."""
-    return json_text(key, col).try_cast("double")
-
-
-def json_int(key, col="metadata"):
-    return json_text(key, col).try_cast("bigint")
+def with_json(rows, *keys, col="metadata"):
+    """Rows with top-level JSON fields as text columns, parsed once; null when absent or broken."""
+    return rows.select("*", F.json_tuple(col, *keys).alias(*keys))
 
 
 def normal_email(col="email"):

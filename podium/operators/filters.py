@@ -52,8 +52,7 @@ def own_scores(scores, games, user_id):
 
 def has_metadata(scores):
     """Scores whose metadata is not the empty object."""
-    bare = F.regexp_replace("metadata", r"\s", "")
-    return scores.filter(F.col("metadata").isNotNull() & (bare != "{}"))
+    return scores.filter(~F.col("metadata").rlike(r"^\s*\{\s*\}\s*$"))
 
 
 def _any_contains(word, cols):

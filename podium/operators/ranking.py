@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from podium.functions.sequences import numbered
 from podium.functions.values import display_name, member, sort_key
+from podium.session import pinned
 from podium.operators.standings import BEST, global_latest, global_total, standings
 
 MAX_PAGE = 100
@@ -74,8 +75,12 @@ def _positions(keyed, group, order, first, last, bound=None):
 
 
 def ranked_standings(board, games, as_stored=False, bound=None):
-    """Every member of every board with its rank, for boards of any size."""
-    keyed = _keyed(board, games, as_stored)
+    """Every member of every board with its rank, for boards of any size.
+
+    The ordered rows are written to the shared folder first: they are read several times, and
+    making them anew would group all scores each time.
+    """
+    keyed = pinned(_keyed(board, games, as_stored))
     ranked = numbered(keyed, ["game_id"], _order(as_stored), "rank", bound)
     return ranked.drop("_key", "_member")
 

@@ -64,7 +64,7 @@ def personal_best_flags(scores, games, bound=None):
     typed = typed.withColumn(
         "_worth", F.when(is_highest(), F.col("score")).otherwise(-F.col("score"))
     )
-    seq = Sequence(typed, ["user_id", "game_id"], ["submitted_at", "id"], bound)
+    seq = Sequence(typed, ["user_id", "game_id"], ["submitted_at", "id"], bound, counted=scores)
     flagged = seq.running("_before", F.max, F.greatest, "_worth").done()
     beats = F.col("_before").isNull() | (F.col("_worth") > F.col("_before"))
     return flagged.select(

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from podium.functions.ranks import value_ranks
 from podium.functions.times import bucket, date_of
-from podium.functions.values import json_text, mean, ratio, sort_key
+from podium.functions.values import mean, ratio, sort_key, with_json
 from podium.plans.views import game_analytics, player_type, user_engagement
 
 DIFFICULTIES = ("easy", "medium", "hard")
@@ -60,7 +60,7 @@ def score_histogram(scores, bins=10):
 def difficulty_mix(scores, games):
     """Submissions per game and difficulty, one column per difficulty."""
     counts = (
-        scores.select("game_id", json_text("difficulty").alias("difficulty"))
+        with_json(scores, "difficulty")
         .groupBy("game_id")
         .pivot("difficulty", list(DIFFICULTIES))
         .count()

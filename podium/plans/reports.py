@@ -23,13 +23,11 @@ from podium.functions.values import (
     best_of,
     display_name,
     event_key,
-    json_int,
-    json_number,
-    json_text,
     mean,
     ratio,
     sort_key,
     spread,
+    with_json,
 )
 from podium.operators.filters import has_metadata, of_game
 from podium.operators.ranking import game_board
@@ -160,8 +158,8 @@ def engagement_trend(scores, as_of, period="weekly", tz="UTC"):
     """Active users and sessions per bucket; average of time_played where it is a number."""
     chosen = in_period(scores, "user_engagement", period, as_of)
     start = bucket(BUCKET_UNIT[period], "submitted_at", tz)
-    timed = chosen.select(
-        start.alias("period"), "user_id", json_number("time_played").alias("played")
+    timed = with_json(chosen, "time_played").select(
+        start.alias("period"), "user_id", F.col("time_played").try_cast("double").alias("played")
     )
     users = F.count_distinct("user_id")
     return timed.groupBy("period").agg(
@@ -321,9 +319,9 @@ def improvement_patterns(scores, as_of, period="weekly", game_id=None, limit=Non
 def metadata_patterns(scores, as_of, period="weekly", game_id=None, limit=10):
     """The most frequent (difficulty, level) pairs of scores with metadata."""
     chosen = of_game(in_period(scores, "scoring_patterns", period, as_of), game_id)
-    pairs = has_metadata(chosen).groupBy(
-        json_text("difficulty").alias("metadata__difficulty"),
-        json_int("level").alias("metadata__level"),
+    pairs = with_json(has_metadata(chosen), "difficulty", "level").groupBy(
+        F.col("difficulty").alias("metadata__difficulty"),
+        F.col("level").try_cast("bigint").alias("metadata__level"),
     )
     counts = pairs.agg(mean("score").alias("avg_score"), F.count(F.lit(1)).alias("count"))
     order = [F.desc("count"), "metadata__difficulty", "metadata__level"]

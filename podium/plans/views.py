@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from podium.functions.ranks import with_rank
+from podium.functions.ranks import value_ranks
 from podium.functions.sequences import Sequence
 from podium.functions.times import (
     DAY_MICROS,
@@ -22,12 +22,11 @@ from podium.functions.values import (
     best_of,
     event_key,
     is_highest,
-    json_int,
-    json_text,
     mean,
     ratio,
     sort_key,
     spread,
+    with_json,
 )
 
 
@@ -132,14 +131,17 @@ def leaderboard_trends(scores, games, users, tz="UTC", bound=None):
     typed = scores.select("id", "game_id", "user_id", "score", "submitted_at").join(
         games.select("game_id", "game_name", "score_type"), "game_id"
     )
-    typed = typed.withColumn("submission_date", date_of("submitted_at", tz)).withColumn(
+    # The sequence comes first: it may read its rows several times, and these are a plain scan.
+    seq = Sequence(typed, ["user_id", "game_id"], ["submitted_at", "id"], bound, counted=scores)
+    rows = seq.number("user_submission_sequence").previous("previous_score", "score").done()
+    rows = rows.withColumn("submission_date", date_of("submitted_at", tz)).withColumn(
         "_key", sort_key()
     )
-    ranked = with_rank(typed, ["game_id", "submission_date"], "_key", "daily_rank")
-    seq = Sequence(ranked, ["user_id", "game_id"], ["submitted_at", "id"], bound)
-    rows = (
-        seq.number("user_submission_sequence").previous("previous_score", "score").done()
+    day_keys = typed.select(
+        "game_id", date_of("submitted_at", tz).alias("submission_date"), sort_key().alias("_key")
     )
+    ranks = value_ranks(day_keys, ["game_id", "submission_date"], "_key", "daily_rank").drop("n")
+    rows = rows.join(ranks, ["game_id", "submission_date", "_key"])
     before, score = F.col("previous_score"), F.col("score")
     better = F.when(is_highest(), score > before).otherwise(score < before)
     trend = (
@@ -176,14 +178,14 @@ def leaderboard_trends(scores, games, users, tz="UTC", bound=None):
 
 def scoring_patterns(scores, games, tz="UTC"):
     """One row per (hour, game)."""
-    rows = scores.select(
+    rows = with_json(scores, "level", "time_played", "difficulty").select(
         bucket("hour", "submitted_at", tz).alias("hour_bucket"),
         "game_id",
         "user_id",
         "score",
-        json_int("level").alias("level"),
-        json_int("time_played").alias("time_played"),
-        json_text("difficulty").alias("difficulty"),
+        F.col("level").try_cast("bigint").alias("level"),
+        F.col("time_played").try_cast("bigint").alias("time_played"),
+        "difficulty",
     )
     stats = rows.groupBy("hour_bucket", "game_id").agg(
         F.count(F.lit(1)).alias("submission_count"),
@@ -224,36 +226,38 @@ def scoring_patterns(scores, games, tz="UTC"):
 def daily_metrics(scores, users, tz="UTC"):
     """One row per date with activity.
 
-    Scores are counted once per (date, user, game); all measures come from that smaller table.
+    Three narrow groupings of the scores, each combined before its shuffle, instead of several
+    distinct counts in one, which would multiply the rows.
     """
     date = date_of("submitted_at", tz).alias("metric_date")
-    cells = scores.groupBy(date, "user_id", "game_id").agg(
+    by_user = scores.groupBy(date, "user_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"), F.max("score").alias("top")
     )
     joined = users.select("user_id", date_of("date_joined", tz).alias("joined"))
-    cells = cells.join(joined, "user_id")
-    by_user = cells.groupBy("metric_date", "user_id", "joined").agg(
-        F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("top").alias("top")
-    )
-    days = by_user.groupBy("metric_date").agg(
-        F.sum("n").alias("total_submissions"),
-        F.count(F.lit(1)).alias("daily_active_users"),
-        ratio(F.sum("total"), F.sum("n")).alias("avg_score"),
-        F.count_if(F.col("joined") == F.col("metric_date")).alias("new_users_active"),
-        F.count_if(F.col("joined") < F.col("metric_date")).alias("returning_users_active"),
-        F.max("top").alias("daily_high_score"),
+    days = (
+        by_user.join(joined, "user_id")
+        .groupBy("metric_date")
+        .agg(
+            F.sum("n").alias("total_submissions"),
+            F.count(F.lit(1)).alias("daily_active_users"),
+            ratio(F.sum("total"), F.sum("n")).alias("avg_score"),
+            F.count_if(F.col("joined") == F.col("metric_date")).alias("new_users_active"),
+            F.count_if(F.col("joined") < F.col("metric_date")).alias("returning_users_active"),
+            F.max("top").alias("daily_high_score"),
+        )
     )
     game_days = (
-        cells.groupBy("metric_date", "game_id")
-        .agg(F.lit(1).alias("one"))
+        scores.select(date, "game_id")
+        .distinct()
         .groupBy("metric_date")
         .agg(F.count(F.lit(1)).alias("games_with_activity"))
     )
     # Users whose first play of some game falls on the date.
+    first = F.min("submitted_at").alias("first")
     starters = (
-        cells.groupBy("user_id", "game_id")
-        .agg(F.min("metric_date").alias("metric_date"))
-        .select("metric_date", "user_id")
+        scores.groupBy("user_id", "game_id")
+        .agg(first)
+        .select(date_of("first", tz).alias("metric_date"), "user_id")
         .distinct()
         .groupBy("metric_date")
         .agg(F.count(F.lit(1)).alias("new_players_to_games"))
@@ -345,34 +349,35 @@ def game_popularity(scores, games, tz="UTC"):
 
     A player is new in the week of the pair's first score, so no self-join is needed.
     """
-    cells = scores.groupBy(
-        "game_id", "user_id", bucket("week", "submitted_at", tz).alias("week_start")
-    ).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("score").alias("total"),
-        F.min("submitted_at").alias("first"),
-        F.max("submitted_at").alias("last"),
-    )
-    weekly = cells.groupBy("game_id", "week_start").agg(
-        F.sum("n").alias("weekly_submissions"),
-        F.count(F.lit(1)).alias("weekly_players"),
-        ratio(F.sum("total"), F.sum("n")).alias("weekly_avg_score"),
-    )
-    pairs = cells.groupBy("game_id", "user_id").agg(
-        F.min("week_start").alias("week_start"),
-        F.sum("n").alias("n"),
-        F.min("first").alias("first"),
-        F.max("last").alias("last"),
+    week = bucket("week", "submitted_at", tz).alias("week_start")
+    weekly = (
+        scores.groupBy("game_id", "user_id", week)
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("score").alias("total"),
+            F.min("submitted_at").alias("first"),
+            F.max("submitted_at").alias("last"),
+        )
+        .groupBy("game_id", "week_start")
+        .agg(
+            F.sum("n").alias("weekly_submissions"),
+            F.count(F.lit(1)).alias("weekly_players"),
+            ratio(F.sum("total"), F.sum("n")).alias("weekly_avg_score"),
+            F.min("first").alias("first"),
+            F.max("last").alias("last"),
+        )
     )
-    starts = pairs.groupBy("game_id", "week_start").agg(F.count(F.lit(1)).alias("starters"))
-    overall = pairs.groupBy("game_id").agg(
-        F.sum("n").alias("total_submissions"),
-        F.count(F.lit(1)).alias("total_players"),
-        F.min("first").alias("first_activity"),
-        F.max("last").alias("last_activity"),
+    starts = (
+        scores.groupBy("game_id", "user_id")
+        .agg(F.min("submitted_at").alias("first"))
+        .groupBy("game_id", bucket("week", "first", tz).alias("week_start"))
+        .agg(F.count(F.lit(1)).alias("starters"))
     )
-    # A week has at most one row per game here.
+    # From here on there is one row per game and week: the windows below are bounded by the
+    # number of games and of weeks. Each player starts in exactly one week of a game.
     by_size = Window.partitionBy("week_start").orderBy(F.desc("weekly_submissions"))
+    overall = Window.partitionBy("game_id")
+    started = F.coalesce("starters", F.lit(0)).cast("bigint")
     weeks = micros_between(F.col("first_activity"), F.col("last_activity")).cast("double") / F.lit(
         7.0 * DAY_MICROS
     )
@@ -380,10 +385,17 @@ def game_popularity(scores, games, tz="UTC"):
     tier = F.when(place <= 3, "Top").when(place <= 10, "Popular").otherwise("Niche")
     return (
         weekly.join(starts, ["game_id", "week_start"], "left")
-        .withColumn("new_players_this_week", F.coalesce("starters", F.lit(0)).cast("bigint"))
+        .withColumn("new_players_this_week", started)
+        .withColumns(
+            {
+                "total_submissions": F.sum("weekly_submissions").over(overall),
+                "total_players": F.sum("new_players_this_week").over(overall),
+                "first_activity": F.min("first").over(overall),
+                "last_activity": F.max("last").over(overall),
+            }
+        )
         .join(games.select("game_id", "game_name", "score_type"), "game_id")
         .withColumn("weekly_popularity_rank", F.rank().over(by_size).cast("bigint"))
-        .join(overall, "game_id")
         .select(
             "game_id",
             "game_name",

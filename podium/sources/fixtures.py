@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from podium import schemas
+from podium.functions.values import with_json
 
 AS_OF = "2024-01-31 00:00:00"
 ORDERS_AS_OF = "2001-08-02 00:00:00"
@@ -55,18 +56,30 @@ def _game_id(col, listed):
     )
 
 
+def _with_k(events):
+    """Events with the number ``k`` of their properties, parsed once."""
+    parsed = with_json(events, "k", col="props")
+    return parsed.withColumn("k", F.col("k").cast("int"))
+
+
 def _metadata():
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.col("k")
     difficulty = F.when(k % 3 == 0, "easy").when(k % 3 == 1, "medium").otherwise("hard")
-    full = F.format_string(
-        '{"level": %d, "difficulty": "%s", "time_played": %d}', k % 10 + 1, difficulty, k * 6
+    full = F.concat(
+        F.lit('{"level": '),
+        (k % 10 + 1).cast("string"),
+        F.lit(', "difficulty": "'),
+        difficulty,
+        F.lit('", "time_played": '),
+        (k * 6).cast("string"),
+        F.lit("}"),
     )
     return F.when(k < 5, F.lit("{}")).otherwise(full)
 
 
 def scores_from_events(events):
     """Each event is a submission to the game named by its type. Works on streams too."""
-    return events.select(
+    return _with_k(events).select(
         F.col("event_id").alias("id"),
         "user_id",
         _game_id("event_type", EVENT_GAMES).alias("game_id"),
@@ -107,7 +120,7 @@ def users(spark, sf_dir):
 
 def submissions_from_events(events):
     """Events as raw submissions; chosen values of ``k`` break one rule each."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.col("k")
     value = F.col("value").cast("decimal(20,3)")
     score = (
         F.when(k == 11, -value - 1)
@@ -118,7 +131,7 @@ def submissions_from_events(events):
         .cast("string")
     )
     known = _game_id("event_type", EVENT_GAMES)
-    return events.select(
+    return _with_k(events).select(
         F.col("event_id").alias("id"),
         "user_id",
         F.when(k == 7, F.lit(99).cast("bigint")).otherwise(known).alias("game_id"),
