@@ -57,14 +57,13 @@ def personal_best_flags(scores, games, bound=None):
 
     The first submission does. Time decides what is earlier, then the id.
     """
-    typed = scores.select("id", "user_id", "game_id", "score", "submitted_at").join(
-        games.select("game_id", "score_type"), "game_id"
-    )
+    typed = scores.join(games.select("game_id", "score_type"), "game_id")
     # One running maximum serves all score types: smaller scores win where it is negated.
-    typed = typed.withColumn(
-        "_worth", F.when(is_highest(), F.col("score")).otherwise(-F.col("score"))
+    worth = F.when(is_highest(), F.col("score")).otherwise(-F.col("score"))
+    narrow = typed.select(
+        "id", "user_id", "game_id", "score", "submitted_at", worth.alias("_worth")
     )
-    seq = Sequence(typed, ["user_id", "game_id"], ["submitted_at", "id"], bound, counted=scores)
+    seq = Sequence(narrow, ["user_id", "game_id"], ["submitted_at", "id"], bound, counted=scores)
     flagged = seq.running("_before", F.max, F.greatest, "_worth").done()
     beats = F.col("_before").isNull() | (F.col("_worth") > F.col("_before"))
     return flagged.select(

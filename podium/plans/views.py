@@ -128,20 +128,17 @@ def user_engagement(scores, users, as_of, tz="UTC"):
 
 def leaderboard_trends(scores, games, users, tz="UTC", bound=None):
     """One row per score: daily rank in its game, place in its user's sequence, improvement."""
-    typed = scores.select("id", "game_id", "user_id", "score", "submitted_at").join(
-        games.select("game_id", "game_name", "score_type"), "game_id"
-    )
+    narrow = scores.select("id", "game_id", "user_id", "score", "submitted_at")
+    kinds = games.select("game_id", "score_type")
+    date = date_of("submitted_at", tz).alias("submission_date")
     # The sequence comes first: it may read its rows several times, and these are a plain scan.
-    seq = Sequence(typed, ["user_id", "game_id"], ["submitted_at", "id"], bound, counted=scores)
+    # Names are joined last, so that no text travels through the shuffles.
+    seq = Sequence(narrow, ["user_id", "game_id"], ["submitted_at", "id"], bound)
     rows = seq.number("user_submission_sequence").previous("previous_score", "score").done()
-    rows = rows.withColumn("submission_date", date_of("submitted_at", tz)).withColumn(
-        "_key", sort_key()
-    )
-    day_keys = typed.select(
-        "game_id", date_of("submitted_at", tz).alias("submission_date"), sort_key().alias("_key")
-    )
+    keyed = rows.join(kinds, "game_id").select(*rows.columns, date, sort_key().alias("_key"))
+    day_keys = narrow.join(kinds, "game_id").select("game_id", date, sort_key().alias("_key"))
     ranks = value_ranks(day_keys, ["game_id", "submission_date"], "_key", "daily_rank").drop("n")
-    rows = rows.join(ranks, ["game_id", "submission_date", "_key"])
+    rows = keyed.join(ranks, ["game_id", "submission_date", "_key"]).drop("_key")
     before, score = F.col("previous_score"), F.col("score")
     better = F.when(is_highest(), score > before).otherwise(score < before)
     trend = (
@@ -154,7 +151,10 @@ def leaderboard_trends(scores, games, users, tz="UTC", bound=None):
     people = users.select(
         "user_id", F.col("email").alias("user_email"), F.col("name").alias("user_name")
     )
-    return rows.join(people, "user_id").select(
+    named = rows.join(people, "user_id").join(
+        games.select("game_id", "game_name", "score_type"), "game_id"
+    )
+    return named.select(
         "game_id",
         "game_name",
         "score_type",
