@@ -88,15 +88,12 @@ class Tables:
         return fixtures.scores_from_events(self.stream())
 
     def demo_tables(self):
-        """The tables with every third user and one game named as demo data."""
-        email = F.when(
-            F.col("user_id") % 3 == 0, F.concat(F.lit("demo_"), "email")
-        ).otherwise(F.col("email"))
+        """The tables with one market segment and one game named as demo data."""
         name = F.when(F.col("game_id") == 2, F.lit("Demo view")).otherwise(F.col("game_name"))
         return (
             self.scores,
             self.games.withColumn("game_name", name),
-            self.users.withColumn("email", email),
+            fixtures.users(self.spark, self.sf_dir, "MACHINERY"),
         )
 
 
@@ -113,6 +110,12 @@ def _live_standings(t):
     return live.live_standings(t.spark, path, t.games)
 
 
+def _answers(t):
+    path, out, check = (scratch(t.spark, n) for n in ("standings", "answers", "check"))
+    _finish(live.start_answers(t.score_stream(), path, out, t.games, check, available_now=True))
+    return t.spark.read.parquet(out).drop("batch_id")
+
+
 def _stored_stream(t, rows):
     path, check = scratch(t.spark, "out"), scratch(t.spark, "check")
     schema = rows.schema
@@ -214,6 +217,9 @@ def _query_table():
         ),
         "user_best": lambda t: submissions.user_best(t.scores, t.games),
         "score_history": lambda t: submissions.score_history(t.scores, t.games, USER, GAME),
+        "score_history_page": lambda t: submissions.history_page(
+            t.scores, t.games, USER, GAME, page=2, page_size=5
+        ),
         "submission_results": lambda t: submissions.submission_results(t.scores, t.games),
         "rate_limit_excess": lambda t: submissions.rate_limit_excess(t.scores),
         "rate_limit_excess_hourly": lambda t: submissions.rate_limit_excess(t.scores, 1, "hour"),
@@ -268,9 +274,7 @@ def _query_table():
         ),
         "published_game_popularity": _published,
         # lists and filters
-        "active_games": lambda t: filters.active_games(t.games).select(
-            "game_id", "game_name", "score_type"
-        ),
+        "active_games": lambda t: demo.scores_per_game(t.scores, filters.active_games(t.games)),
         "own_scores": lambda t: filters.own_scores(t.scores, t.games, USER),
         "search_scores": lambda t: filters.search_scores(
             t.scores, t.games, t.users, "#00000001 VIEW"
@@ -302,6 +306,7 @@ def _query_table():
         "engagement_funnel": lambda t: dashboards.engagement_funnel(t.scores, t.users),
         # streams
         "stream_live_standings": _live_standings,
+        "stream_answers": _answers,
         "stream_live_activity": lambda t: _stored_stream(
             t, activity.live_activity(t.score_stream())
         ),

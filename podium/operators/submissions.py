@@ -1,5 +1,6 @@
 """Rules applied to submissions: validation, personal bests, history, rate limit."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from podium.functions.sequences import Sequence
@@ -105,6 +106,24 @@ def score_history_top(scores, games, user_id, game_id, limit=None):
     return rows if limit is None else rows.limit(limit)
 
 
+def history_page(scores, games, user_id, game_id, page=1, page_size=20):
+    """As :func:`score_history`, with paging columns; has_next looks one row ahead."""
+    start, end = page_bounds(page, page_size)
+    size = end - start + 1
+    ahead = _history(scores, games, user_id, game_id).offset(start).limit(size + 1)
+    # At most 101 rows from here on.
+    newest = Window.partitionBy(F.lit(0)).orderBy(F.desc("submitted_at"), F.desc("id"))
+    placed = ahead.withColumn("_place", F.row_number().over(newest)).withColumn(
+        "has_next", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) > size
+    )
+    return placed.filter(F.col("_place") <= size).select(
+        *ahead.columns,
+        F.lit(page).cast("bigint").alias("page"),
+        F.lit(size).cast("bigint").alias("page_size"),
+        "has_next",
+    )
+
+
 def _history(scores, games, user_id, game_id):
     mine = scores.filter((F.col("user_id") == user_id) & (F.col("game_id") == game_id))
     return (
@@ -120,9 +139,11 @@ def submission_results(scores, games, new_ids=None, kind=BEST, bound=None):
     ``new_ids`` (a DataFrame with ``id``) limits the answer to a batch of new submissions.
     """
     flags = personal_best_flags(scores, games, bound)
+    wanted = scores
     if new_ids is not None:
         flags = flags.join(new_ids.select("id"), "id", "left_semi")
-    ranks = ranks_of(scores, games, flags, kind, bound)
+        wanted = scores.join(new_ids.select("id"), "id", "left_semi")
+    ranks = ranks_of(scores, games, wanted, kind, bound)
     return flags.join(ranks, ["game_id", "user_id"], "left").select(
         "id",
         "user_id",

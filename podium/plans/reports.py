@@ -30,7 +30,7 @@ from podium.functions.values import (
     with_json,
 )
 from podium.operators.filters import has_metadata, of_game
-from podium.operators.ranking import game_board
+from podium.operators.ranking import TOP_BOUND, game_board
 
 
 def _limited(rows, limit):
@@ -141,7 +141,7 @@ def user_activity(scores, users, as_of, period="weekly", limit=50):
         F.max("submitted_at").alias("last_activity"),
     )
     top = _limited(stats.orderBy(F.desc("total_sessions"), "user_id"), limit)
-    if limit is not None and limit <= 10_000:
+    if limit is not None and limit <= TOP_BOUND:
         top = F.broadcast(top)  # at most `limit` rows
     span = span_days(F.col("first_activity"), F.col("last_activity"))
     return top.join(users.select("user_id", "email", "name"), "user_id").select(
@@ -219,13 +219,14 @@ def score_progression(scores, games, users, as_of, game_id, period="weekly", n=1
     recent = in_period(
         scores.filter(F.col("game_id") == game_id), "leaderboard_trends", period, as_of
     ).select("id", "user_id", "submitted_at", "score")
-    people = F.broadcast(leaders.select("user_id", "username", "name"))  # at most n rows
-    rows = recent.join(people, "user_id")
+    people = leaders.select("user_id", "username", "name")
+    few = F.broadcast if n <= TOP_BOUND else (lambda df: df)  # at most n rows
+    rows = recent.join(few(people), "user_id")
     key = event_key()
     ends = rows.groupBy("user_id").agg(
         (F.max_by("score", key) - F.min_by("score", key)).alias("improvement")
     )
-    return rows.join(F.broadcast(ends), "user_id").select(  # at most n rows
+    return rows.join(few(ends), "user_id").select(
         "user_id", "username", "name", "id", "submitted_at", "score", "improvement"
     )
 

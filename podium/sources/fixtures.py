@@ -105,12 +105,15 @@ def order_scores(spark, sf_dir):
     )
 
 
-def users(spark, sf_dir):
+def users(spark, sf_dir, demo_segment=None):
+    """Customers as users; those of ``demo_segment`` get an email that marks demo users."""
     key = F.col("c_custkey")
+    mark = F.when(F.col("c_mktsegment") == demo_segment, "demo_").otherwise("")
+    email = F.concat(F.lower("c_name"), F.lit("@example.com"))
     joined = F.date_add(F.lit("2024-01-01").cast("date"), (key % 30).cast("int"))
     return table(spark, sf_dir, "customer").select(
         key.alias("user_id"),
-        F.concat(F.lower("c_name"), F.lit("@example.com")).alias("email"),
+        (email if demo_segment is None else F.concat(mark, email)).alias("email"),
         F.when(key % 7 == 0, F.lit("")).otherwise(F.col("c_name")).alias("name"),
         (key % 11 != 0).alias("is_active"),
         (key < 3).alias("is_staff"),

@@ -9,7 +9,8 @@ the query, so there is no watermark to drop late scores and no state that grows.
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from podium.functions.values import best_of, event_key
+from podium.functions.sequences import Sequence
+from podium.functions.values import best_of, event_key, is_highest
 from podium.operators.ranking import ranked_standings
 from podium.schemas import SCORE
 
@@ -97,11 +98,80 @@ def start_live_standings(scores, path, checkpoint, available_now=False):
     return writer.start()
 
 
+def answered(batch, before, now, games, bound=None):
+    """What the submitters of a batch are told: rank, board size and personal-best flag.
+
+    ``before`` and ``now`` are folded summaries without and with the batch. A score is a personal
+    best when it beats all earlier batches and all earlier rows of its own batch.
+    """
+    kinds = games.select("game_id", "score_type")
+    worth = F.when(is_highest(), F.col("score")).otherwise(-F.col("score")).alias("_worth")
+    rows = batch.join(kinds, "game_id").select(
+        "id", "user_id", "game_id", "score", "submitted_at", worth
+    )
+    seq = Sequence(rows, ["user_id", "game_id"], ["submitted_at", "id"], bound)
+    rows = seq.running("_within", F.max, F.greatest, "_worth").done()
+    old = before.join(kinds, "game_id").select(
+        "game_id",
+        "user_id",
+        F.when(is_highest(), F.col("top")).otherwise(-F.col("low")).alias("_old"),
+    )
+    touched = batch.select("game_id").distinct()
+    board = now.join(touched, "game_id", "left_semi").join(kinds, "game_id").select(
+        "game_id", "user_id", best_of(F.col("top"), F.col("low")).alias("score")
+    )
+    ranked = ranked_standings(board, games, bound=bound).select("game_id", "user_id", "rank")
+    sizes = board.groupBy("game_id").agg(F.count(F.lit(1)).alias("total_players"))
+    best_before = F.greatest("_within", "_old")
+    return (
+        rows.join(old, ["game_id", "user_id"], "left")
+        .join(ranked, ["game_id", "user_id"])
+        .join(sizes, "game_id")
+        .select(
+            "id",
+            "user_id",
+            "game_id",
+            "score",
+            "rank",
+            "total_players",
+            (best_before.isNull() | (F.col("_worth") > best_before)).alias("is_personal_best"),
+        )
+    )
+
+
+def answer_batch(path, results, games, bound=None):
+    """The foreachBatch function that stores a batch's summary and then its answers.
+
+    Only earlier batches count as before, so a replayed batch gives the same answers.
+    """
+    store_delta = write_delta(path)
+
+    def store(batch, batch_id):
+        store_delta(batch, batch_id)
+        deltas = read_deltas(batch.sparkSession, path)
+        before = folded(deltas.filter(F.col("batch_id") < batch_id))
+        now = folded(deltas.filter(F.col("batch_id") <= batch_id))
+        answers = answered(batch, before, now, games, bound)
+        answers.write.mode("overwrite").parquet(f"{results}/batch_id={batch_id}")
+
+    return store
+
+
+def start_answers(scores, path, results, games, checkpoint, available_now=False, bound=None):
+    """Start the query that keeps the standings current and answers every submission."""
+    writer = scores.writeStream.foreachBatch(answer_batch(path, results, games, bound)).option(
+        "checkpointLocation", checkpoint
+    )
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
 def compact(spark, path, target):
-    """Fold all batches into a new folder; the query goes on there as batches of their own.
+    """Fold all batches into one, in a new folder.
 
-    Written beside the old folder, which stays readable until the caller switches over. The
-    result carries batch id -1, which no stream batch has.
+    Stop the query, compact, and start it again with the same checkpoint on the new folder. The
+    folded part carries batch id -1, which no stream batch has; the old folder stays untouched.
     """
     rows = folded(read_deltas(spark, path))
     rows.write.mode("overwrite").parquet(f"{target}/batch_id=-1")

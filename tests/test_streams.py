@@ -61,6 +61,26 @@ def test_replaying_a_batch_twice(make, spark, tmp_path):
     assert (got.n, int(got.best_score), int(got.latest_score)) == (3, 9, 4)
 
 
+def test_answers_across_batches(make, spark, tmp_path):
+    games = make.games((1, "a", "highest"), (2, "b", "time"))
+    path, out = str(tmp_path / "out"), str(tmp_path / "answers")
+    store = live.answer_batch(path, out, games)
+    t = "2024-01-01 00:00:00"
+    store(make.scores((1, 1, 1, 5, t), (2, 2, 1, 7, t), (3, 1, 2, 9, t)), 0)
+    second = make.scores((4, 1, 1, 8, t), (5, 1, 1, 8, t), (6, 1, 2, 10, t))
+    for _ in range(2):
+        store(second, 1)
+    got = rows(spark.read.parquet(out), "id", "rank", "total_players", "is_personal_best")
+    assert got == [
+        (1, 2, 2, True),
+        (2, 1, 2, True),
+        (3, 1, 1, True),
+        (4, 1, 2, True),
+        (5, 1, 2, False),
+        (6, 1, 1, False),
+    ]
+
+
 def test_intake(make, spark, tmp_path):
     games = make.games((1, "a", "highest"))
     given = make.submissions((1, 1, 1, "5", "{}"), (2, 1, 1, "-5", "{}"), (3, 1, 9, "5", "{}"))

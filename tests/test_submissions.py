@@ -85,6 +85,15 @@ def test_history(played):
     assert subs.score_history_top(scores, games, 5, 1).count() == 3
 
 
+def test_history_pages(played):
+    scores, games = played
+    first = subs.history_page(scores, games, 5, 1, page=1, page_size=2).collect()
+    assert [r.id for r in first] == [3, 2] and first[0].has_next and first[0].page_size == 2
+    last = subs.history_page(scores, games, 5, 1, page=2, page_size=2).collect()
+    assert [r.id for r in last] == [1] and not last[0].has_next
+    assert subs.history_page(scores, games, 5, 1, page=3, page_size=2).count() == 0
+
+
 def test_submission_results(played, spark):
     scores, games = played
     new = spark.createDataFrame([(3,), (5,)], "id long")
