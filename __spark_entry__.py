@@ -293,7 +293,7 @@ def _query_table():
         # dashboards
         "retention_cohort": lambda t: dashboards.retention_cohort(t.scores),
         "retention_cohort_orders": lambda t: dashboards.retention_cohort(t.order_scores),
-        "score_histogram": lambda t: dashboards.score_histogram(t.scores),
+        "score_histogram": lambda t: dashboards.score_histogram(t.scores, t.games),
         "difficulty_mix": lambda t: dashboards.difficulty_mix(t.scores, t.games),
         "calendar_heatmap": lambda t: dashboards.calendar_heatmap(t.scores),
         "board_heatmap": lambda t: dashboards.board_heatmap(t.scores, t.games),

@@ -15,10 +15,10 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from podium.functions.sizes import ROW_BOUND
 from podium.session import pinned
 
 GROUP_BOUND = 2_000_000  # rows that one task sorts with ease
-KEY_BOUND = 500_000  # hot keys that may be broadcast
 
 PIECE = "_piece"
 WHOLE = -1
@@ -40,7 +40,7 @@ class Sequence:
         if not keys:
             return rows.withColumn(PIECE, F.lit(WHOLE)), False
         hot = hot.select(*self.group)
-        if keys <= KEY_BOUND:
+        if keys <= ROW_BOUND:
             hot = F.broadcast(hot)
         # The bounds of a range partitioning are sampled, so it is computed once and written:
         # every later use must see the same pieces.

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from podium.functions.sequences import numbered
+from podium.functions.sizes import per_game, touched_games
 from podium.functions.values import display_name, member, sort_key
 from podium.session import pinned
 from podium.operators.standings import BEST, global_latest, global_total, standings
@@ -183,14 +184,16 @@ def _better(key, who, own_key, own_member):
     )
 
 
-def _targets(keyed, user_id):
-    mine = keyed.filter(F.col("user_id") == user_id)
-    return mine.select(
+def _targets(scores, games, user_id, kind):
+    """The user's own position keys, at most one row per game; reads only the user's scores."""
+    mine = standings(scores.filter(F.col("user_id") == user_id), games, kind)
+    own = _keyed(mine, games, False).select(
         "game_id",
         F.col("_key").alias("_own_key"),
         F.col("_member").alias("_own_member"),
         F.col("score").alias("user_score"),
     )
+    return per_game(own, games)
 
 
 def user_rank(scores, games, user_id, game_id=None, kind=BEST):
@@ -201,10 +204,7 @@ def user_rank(scores, games, user_id, game_id=None, kind=BEST):
     if game_id is not None:
         scores = scores.filter(F.col("game_id") == game_id)
     keyed = _keyed(standings(scores, games, kind), games, False)
-    own = _targets(_keyed(
-        standings(scores.filter(F.col("user_id") == user_id), games, kind), games, False
-    ), user_id)
-    # `own` has at most one row per game.
+    own = _targets(scores, games, user_id, kind)
     against = keyed.join(own, "game_id")
     return against.groupBy("game_id").agg(
         (F.count_if(_better("_key", "_member", "_own_key", "_own_member")) + 1).alias("user_rank"),
@@ -235,50 +235,45 @@ def user_global_rank(scores, user_id):
 def surrounding_players(scores, games, users, user_id, game_id=None, reach=5, kind=BEST):
     """The user's row and up to ``reach`` neighbours on either side, in each game played.
 
-    The neighbours are the nearest better and the nearest worse members: two top-k's per game
+    The neighbours are the nearest better and the nearest worse members: a top-k per game and side
     instead of a sorted board.
     """
     if game_id is not None:
         scores = scores.filter(F.col("game_id") == game_id)
     keyed = _keyed(standings(scores, games, kind), games, False)
-    own = _targets(_keyed(
-        standings(scores.filter(F.col("user_id") == user_id), games, kind), games, False
-    ), user_id)
+    own = _targets(scores, games, user_id, kind)
     placed = keyed.join(own, "game_id").withColumn(
         "_above", _better("_key", "_member", "_own_key", "_own_member")
     )
-    nearest_above = Window.partitionBy("game_id").orderBy(
-        F.col("_key").desc(), F.col("_member").desc()
+    # Nearest first on both sides: better members from the worst up, the others from the best down.
+    above = F.col("_above")
+    nearest = Window.partitionBy("game_id", "_above").orderBy(
+        F.when(above, -F.col("_key")).otherwise(F.col("_key")),
+        F.when(above, F.col("_member")).desc(),
+        F.when(~above, F.col("_member")).asc(),
     )
-    from_own_down = Window.partitionBy("game_id").orderBy("_key", "_member")
     near = F.col("_near")
-    above = (
-        placed.filter("_above")
-        .withColumn("_near", F.row_number().over(nearest_above))
-        .filter(near <= reach)
-        .withColumn("_offset", -near)
-    )
-    below = (
-        placed.filter("not _above")
-        .withColumn("_near", F.row_number().over(from_own_down))
+    around = (
+        placed.withColumn("_near", F.row_number().over(nearest))
         .filter(near <= reach + 1)
-        .withColumn("_offset", near - 1)
+        .filter(~above | (near <= reach))
+        .withColumn("_offset", F.when(above, -near).otherwise(near - 1))
     )
     ranks = placed.groupBy("game_id").agg((F.count_if("_above") + 1).alias("_own_rank"))
-    around = above.unionByName(below).join(ranks, "game_id")
+    around = around.join(per_game(ranks, games), "game_id")
     ranked = around.withColumn("rank", (F.col("_own_rank") + F.col("_offset")).cast("bigint"))
     return _named(ranked, users, "score")
 
 
 def ranks_of(scores, games, wanted, kind=BEST, bound=None):
     """Rank, score and board size of many (game_id, user_id) rows at once."""
-    board = standings(scores.join(wanted.select("game_id").distinct(), "game_id", "left_semi"),
-                      games, kind)
+    chosen = scores.join(touched_games(wanted, games), "game_id", "left_semi")
+    board = standings(chosen, games, kind)
     ranked = ranked_standings(board, games, bound=bound)
     sizes = ranked.groupBy("game_id").agg(F.count(F.lit(1)).alias("total_players"))
     return (
         ranked.join(wanted.select("game_id", "user_id").distinct(), ["game_id", "user_id"])
-        .join(sizes, "game_id")
+        .join(per_game(sizes, games), "game_id")
         .select(
             "game_id",
             "user_id",
@@ -294,8 +289,8 @@ def neighbours_of(scores, games, wanted, reach=5, kind=BEST, bound=None):
 
     The wanted ranks are spread to rank-reach..rank+reach, so the board is met by equality.
     """
-    board = standings(scores.join(wanted.select("game_id").distinct(), "game_id", "left_semi"),
-                      games, kind)
+    chosen = scores.join(touched_games(wanted, games), "game_id", "left_semi")
+    board = standings(chosen, games, kind)
     ranked = ranked_standings(board, games, bound=bound).select(
         "game_id", "rank", "user_id", "score"
     )

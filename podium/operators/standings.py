@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from podium.functions.sizes import touched_games
 from podium.functions.values import best_of, event_key
 from podium.schemas import SCORE
 
@@ -77,8 +78,8 @@ def board_sizes(scores):
 
 def rebuilt(scores, games, selected):
     """Best standings of the games that occur in ``selected`` scores."""
-    touched = selected.select("game_id").distinct()
-    return best_standings(scores.join(touched, "game_id", "left_semi"), games)
+    chosen = scores.join(touched_games(selected, games), "game_id", "left_semi")
+    return best_standings(chosen, games)
 
 
 def _dynamic(writer):

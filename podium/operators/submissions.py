@@ -4,11 +4,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from podium.functions.sequences import Sequence
+from podium.functions.sizes import counted_broadcast
 from podium.functions.times import bucket
-from podium.functions.values import best_of, event_key, is_highest
+from podium.functions.values import is_highest, sort_key
 from podium.operators.ranking import page_bounds, ranks_of
 from podium.operators.standings import BEST
 from podium.schemas import SCORE
+from podium.session import pinned
 
 # 12 digits, 2 of them decimals; 30 submissions a minute.
 WHOLE_DIGITS = 10
@@ -78,19 +80,10 @@ def user_best(scores, games, user_id=None, game_id=None):
         scores = scores.filter(F.col("user_id") == user_id)
     if game_id is not None:
         scores = scores.filter(F.col("game_id") == game_id)
-    # Best score per pair first (a hash aggregate), then the earliest row that has it.
-    best = scores.groupBy("user_id", "game_id").agg(
-        F.max("score").alias("_top"), F.min("score").alias("_low")
-    )
-    per_score = scores.groupBy("user_id", "game_id", "score").agg(
-        F.min("submitted_at").alias("submitted_at"), F.min_by("id", event_key()).alias("id")
-    )
-    typed = best.join(games.select("game_id", "score_type"), "game_id").select(
-        "user_id", "game_id", best_of(F.col("_top"), F.col("_low")).alias("score")
-    )
-    return per_score.join(typed, ["user_id", "game_id", "score"]).select(
-        "user_id", "game_id", "id", "score", "submitted_at"
-    )
+    typed = scores.join(games.select("game_id", "score_type"), "game_id")
+    first = F.min(F.struct(sort_key().alias("key"), "submitted_at", "id", "score")).alias("best")
+    best = typed.groupBy("user_id", "game_id").agg(first)
+    return best.select("user_id", "game_id", "best.id", "best.score", "best.submitted_at")
 
 
 def score_history(scores, games, user_id, game_id, page=1, page_size=20):
@@ -171,7 +164,7 @@ def rate_limit_excess(scores, limit=RATE_LIMIT, unit="minute", bound=None):
     rows = scores.select(
         "id", "user_id", "game_id", "submitted_at", bucket(unit, "submitted_at").alias("slot")
     )
-    busy = busy_slots(scores, limit, unit).select("user_id", "slot")
+    busy = counted_broadcast(pinned(busy_slots(scores, limit, unit).select("user_id", "slot")))
     crowded = rows.join(busy, ["user_id", "slot"], "left_semi")
     seq = Sequence(crowded, ["user_id", "slot"], ["submitted_at", "id"], bound)
     return seq.number("position").done().filter(F.col("position") > limit)

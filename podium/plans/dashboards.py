@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from podium.functions.ranks import value_ranks
+from podium.functions.sizes import per_game
 from podium.functions.times import bucket, date_of
 from podium.functions.values import mean, ratio, sort_key, with_json
 from podium.plans.views import game_analytics, player_type, user_engagement
@@ -30,7 +31,7 @@ def retention_cohort(scores, tz="UTC"):
     return counts.withColumn("share", ratio(F.col("users"), size))
 
 
-def score_histogram(scores, bins=10):
+def score_histogram(scores, games, bins=10):
     """Equal-width bins 1..``bins`` between each game's lowest and highest score.
 
     The highest score falls in the last bin; a game with one value uses bin 1. Empty bins have no
@@ -39,12 +40,13 @@ def score_histogram(scores, bins=10):
     # Counted per value first: the range and the bins both come from that table.
     values = scores.groupBy("game_id", "score").agg(F.count(F.lit(1)).alias("n"))
     ends = scores.groupBy("game_id").agg(F.min("score").alias("low"), F.max("score").alias("high"))
+    ends = ends.join(games.select("game_id"), "game_id")
     width = (F.col("high") - F.col("low")).cast("double")
     place = F.try_divide((F.col("score") - F.col("low")).cast("double") * bins, width)
     number = F.least(F.floor(F.coalesce(place, F.lit(0.0))).cast("bigint") + 1, F.lit(bins))
     step = width / F.lit(float(bins))
     return (
-        values.join(ends, "game_id")
+        values.join(per_game(ends, games), "game_id")
         .groupBy("game_id", number.cast("bigint").alias("bin"), "low", "high")
         .agg(F.sum("n").alias("count"))
         .select(

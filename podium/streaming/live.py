@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from podium.functions.sequences import Sequence
+from podium.functions.sizes import per_game, touched_games
 from podium.functions.values import best_of, event_key, is_highest
 from podium.operators.ranking import ranked_standings
 from podium.schemas import SCORE
@@ -116,7 +117,7 @@ def answered(batch, before, now, games, bound=None):
         "user_id",
         F.when(is_highest(), F.col("top")).otherwise(-F.col("low")).alias("_old"),
     )
-    touched = batch.select("game_id").distinct()
+    touched = touched_games(batch, games)
     board = now.join(touched, "game_id", "left_semi").join(kinds, "game_id").select(
         "game_id", "user_id", best_of(F.col("top"), F.col("low")).alias("score")
     )
@@ -126,7 +127,7 @@ def answered(batch, before, now, games, bound=None):
     return (
         rows.join(old, ["game_id", "user_id"], "left")
         .join(ranked, ["game_id", "user_id"])
-        .join(sizes, "game_id")
+        .join(per_game(sizes, games), "game_id")
         .select(
             "id",
             "user_id",

@@ -203,7 +203,7 @@ def test_dashboards(world):
     scores, games, users = world
     cohort = rows(dashboards.retention_cohort(scores), "cohort_week", "weeks_since", "users", "share")
     assert (datetime(2024, 1, 22), 1, 1, 1.0) in cohort
-    bins = rows(dashboards.score_histogram(scores, 2), "game_id", "bin", "count")
+    bins = rows(dashboards.score_histogram(scores, games, 2), "game_id", "bin", "count")
     assert bins == [(1, 1, 1), (1, 2, 2), (2, 1, 2), (2, 2, 1)]
     funnel = rows(dashboards.engagement_funnel(scores, users), "step", "users")
     assert funnel == [(1, 4), (2, 3), (3, 2), (4, 0)]
