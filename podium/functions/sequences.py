@@ -19,6 +19,7 @@ from podium.functions.sizes import ROW_BOUND
 from podium.session import pinned
 
 GROUP_BOUND = 2_000_000  # rows that one task sorts with ease
+MAX_PIECES = 10_000  # beyond it pieces grow; the bounds come from a sample of a million rows
 
 PIECE = "_piece"
 WHOLE = -1
@@ -44,9 +45,10 @@ class Sequence:
             hot = F.broadcast(hot)
         # The bounds of a range partitioning are sampled, so it is computed once and written:
         # every later use must see the same pieces.
+        n = min(max(2, math.ceil(total / self.bound)), MAX_PIECES)
         pieces = pinned(
             rows.join(hot, self.group, "left_semi")
-            .repartitionByRange(max(2, math.ceil(total / self.bound)), *self.group, *self.order)
+            .repartitionByRange(n, *self.group, *self.order)
             .withColumn(PIECE, F.spark_partition_id())
         )
         rest = rows.join(hot, self.group, "left_anti").withColumn(PIECE, F.lit(WHOLE))
@@ -110,6 +112,11 @@ class Sequence:
             self.rows = self.rows.drop("_carry")
         return self
 
+    def derive(self, out, col):
+        """A column made from the row itself, for later scans."""
+        self.rows = self.rows.withColumn(out, col)
+        return self
+
     def done(self):
         return self.rows.drop(PIECE)
 

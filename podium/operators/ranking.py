@@ -217,19 +217,14 @@ def user_global_rank(scores, user_id):
     """Rank, last raw score and board size of one user on the global board."""
     keyed = _global_keyed(global_latest(scores))
     mine = _global_keyed(global_latest(scores.filter(F.col("user_id") == user_id)))
-    own = mine.select(
-        "board",
-        F.col("_key").alias("_own_key"),
-        F.col("_member").alias("_own_member"),
-        F.col("total_score").alias("_own_score"),
-    )
-    against = keyed.join(F.broadcast(own), "board")  # one row
-    ranked = against.groupBy("board").agg(
-        (F.count_if(_better("_key", "_member", "_own_key", "_own_member")) + 1).alias("user_rank"),
-        F.max("_own_score").alias("total_score"),
+    own = mine.select(F.struct("_key", "_member", "total_score")).scalar()
+    against = keyed.select("_key", "_member", own.alias("_own"))
+    ranked = against.agg(
+        (F.count_if(_better("_key", "_member", "_own._key", "_own._member")) + 1).alias("user_rank"),
+        F.max("_own.total_score").alias("total_score"),
         F.count(F.lit(1)).alias("total_players"),
     )
-    return ranked.drop("board")
+    return ranked.filter(F.col("total_score").isNotNull())
 
 
 def surrounding_players(scores, games, users, user_id, game_id=None, reach=5, kind=BEST):

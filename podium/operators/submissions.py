@@ -182,9 +182,10 @@ def play_sessions(scores, gap_minutes=30, bound=None):
     )
     pause = F.timestamp_diff("MICROSECOND", F.col("_last"), F.col("submitted_at"))
     starts = F.when(F.col("_last").isNull() | (pause > gap), F.col("submitted_at"))
-    seq.rows = seq.rows.withColumn("_start", starts)
     # The session of a row is the latest start up to it.
-    seq.running("session_start", F.max, F.greatest, "_start", inclusive=True)
+    seq.derive("_start", starts).running(
+        "session_start", F.max, F.greatest, "_start", inclusive=True
+    )
     sessions = seq.done().groupBy("user_id", "session_start").agg(
         F.max("submitted_at").alias("session_end"), F.count(F.lit(1)).alias("submissions")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from podium.functions.quantiles import percentiles
-from podium.functions.ranks import value_ranks
+from podium.functions.ranks import with_rank
 from podium.functions.times import (
     BUCKET_UNIT,
     as_datetime,
@@ -114,16 +114,13 @@ def score_distribution(scores, as_of, period="weekly", game_id=None):
     """Count, exact quartiles and sample standard deviation of the whole selection, in one row."""
     chosen = of_game(in_period(scores, "game_analytics", period, as_of), game_id)
     names = ["percentile_25", "percentile_50", "percentile_75"]
-    quartiles = percentiles(chosen, "score", [0.25, 0.5, 0.75], names).withColumn("one", F.lit(1))
+    quartiles = percentiles(chosen, "score", [0.25, 0.5, 0.75], names)
     totals = chosen.agg(
-        F.lit(1).alias("one"),
-        F.count(F.lit(1)).alias("total_scores"),
-        spread("score").alias("std_deviation"),
-    )
-    # One row meets one row.
-    return totals.join(F.broadcast(quartiles), "one").select(
-        "total_scores", *names, "std_deviation"
+        F.count(F.lit(1)).alias("total_scores"), spread("score").alias("std_deviation")
     )
+    # Two single rows, folded into one.
+    both = totals.unionByName(quartiles, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("total_scores", *names, "std_deviation")])
 
 
 # --- user engagement -----------------------------------------------------------------------
@@ -254,8 +251,7 @@ def daily_best_ranks(scores, games, tz="UTC"):
         "score", best_of(F.col("_top"), F.col("_low"))
     )
     keyed = typed.select("game_id", "user_id", "date", sort_key().alias("_key"))
-    ranks = value_ranks(keyed, ["game_id", "date"], "_key").drop("n")
-    return keyed.join(ranks, ["game_id", "date", "_key"]).drop("_key")
+    return with_rank(keyed, ["game_id", "date"], "_key").drop("_key")
 
 
 def board_volatility(scores, games, tz="UTC"):

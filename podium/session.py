@@ -26,12 +26,15 @@ def local_session(cpus="*", partitions=8, name="podium"):
 def shared_dir(spark):
     """The folder all executors can reach: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a local folder is made.
+    Only where none is set and Spark runs on one machine (tests) a local folder is made.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    named = named or sc.getCheckpointDir()
     if not named:
-        named = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="podium-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
+        named = tempfile.mkdtemp(prefix="podium-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return named

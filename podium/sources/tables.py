@@ -45,7 +45,7 @@ def write_scores(scores, path):
 def store_users(users):
     """Users as they are stored: the domain of the email in lower case; a missing one is refused."""
     blank = F.coalesce(F.col("email"), F.lit("")) == ""
-    checked = F.when(blank, F.raise_error(F.lit("The given email must be set"))).otherwise(
+    checked = F.when(blank, F.raise_error(F.lit("a user needs an email"))).otherwise(
         normal_email()
     )
     return users.withColumn("email", checked)
