@@ -5,13 +5,13 @@ from pyspark.sql import functions as F
 ROW_BOUND = 500_000
 
 
-def per_game(rows, games):
-    """``rows``, which hold at most one row per game, broadcast when the games are few.
+def per_game(rows, games, each=1):
+    """``rows``, which hold at most ``each`` rows per game, broadcast when the games are few.
 
     The games are counted (for Parquet from the file footers). Beyond the bound the join is left
     to Spark.
     """
-    return F.broadcast(rows) if games.count() <= ROW_BOUND else rows
+    return F.broadcast(rows) if games.count() * each <= ROW_BOUND else rows
 
 
 def counted_broadcast(rows):

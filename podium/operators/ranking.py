@@ -98,8 +98,11 @@ def game_board(
         scores = scores.filter(F.col("game_id") == game_id)
     keyed = _keyed(standings(scores, games, kind), games, as_stored)
     ranked = _positions(keyed, ["game_id"], _order(as_stored), start + 1, end + 1, bound)
+    # A page is small beside the users, who then need no shuffle to get their names attached.
     if game_id is not None and end < TOP_BOUND:
         ranked = F.broadcast(ranked)  # at most end + 1 rows
+    elif end < TOP_BOUND:
+        ranked = per_game(ranked, games, end - start + 1)
     return _named(ranked, users, "score")
 
 
@@ -257,7 +260,7 @@ def surrounding_players(scores, games, users, user_id, game_id=None, reach=5, ki
     ranks = placed.groupBy("game_id").agg((F.count_if("_above") + 1).alias("_own_rank"))
     around = around.join(per_game(ranks, games), "game_id")
     ranked = around.withColumn("rank", (F.col("_own_rank") + F.col("_offset")).cast("bigint"))
-    return _named(ranked, users, "score")
+    return _named(per_game(ranked, games, 2 * reach + 1), users, "score")
 
 
 def ranks_of(scores, games, wanted, kind=BEST, bound=None):
