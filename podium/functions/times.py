@@ -46,10 +46,15 @@ def since(scores, start):
     return scores.filter(F.col("submitted_at") >= moment(start, kind))
 
 
+def period_window(report, period, as_of):
+    """(start, end) of the window that ``report`` uses for ``period``."""
+    end = as_datetime(as_of)
+    return end - timedelta(days=LOOKBACK_DAYS[report][check_period(period)]), end
+
+
 def in_period(scores, report, period, as_of):
-    """Scores inside the window that ``report`` uses for ``period``, counted back from ``as_of``."""
-    days = LOOKBACK_DAYS[report][check_period(period)]
-    return since(scores, as_datetime(as_of) - timedelta(days=days))
+    """Scores since the start of the report's window."""
+    return since(scores, period_window(report, period, as_of)[0])
 
 
 def local_time(ts, tz="UTC"):

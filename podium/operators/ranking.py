@@ -46,7 +46,9 @@ def _named(ranked, users, value):
 def _keyed(board, games, as_stored):
     """Standings with the two ordering columns of a board."""
     key = sort_key()
-    typed = board.join(games.select("game_id", "score_type"), "game_id")
+    typed = board
+    if "score_type" not in board.columns:
+        typed = board.join(games.select("game_id", "score_type"), "game_id")
     return typed.select(
         "game_id",
         "user_id",

@@ -32,6 +32,10 @@ def latest_standings(scores):
 
 def best_standings(scores, games):
     """The best submission of every (game, user) counts: max or min by score type."""
+    return _typed_best(scores, games).drop("score_type")
+
+
+def _typed_best(scores, games):
     extremes = scores.groupBy("game_id", "user_id").agg(
         F.max("score").alias("_top"),
         F.min("score").alias("_low"),
@@ -45,14 +49,16 @@ def best_standings(scores, games):
         best_of(F.col("_top"), F.col("_low")).alias("score"),
         "submitted_at",
         "n",
+        "score_type",
     )
 
 
 def standings(scores, games, kind=BEST):
+    """Standings of either kind with the score type of the game."""
     if kind == BEST:
-        return best_standings(scores, games)
+        return _typed_best(scores, games)
     if kind == LATEST:
-        return latest_standings(scores)
+        return latest_standings(scores).join(games.select("game_id", "score_type"), "game_id")
     raise ValueError(f"kind must be {BEST!r} or {LATEST!r}, not {kind!r}")
 
 

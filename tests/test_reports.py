@@ -3,7 +3,7 @@ from decimal import Decimal as D
 
 import pytest
 
-from podium.functions.times import bucket, in_period
+from podium.functions.times import bucket, in_period, period_window
 from podium.operators import filters
 from podium.plans import dashboards, reports, views
 from tests.conftest import rows
@@ -35,6 +35,8 @@ def test_windows_are_inclusive(world):
     scores = world[0]
     assert rows(in_period(scores, "top_players", "weekly", AS_OF), "id") == [(1,), (2,), (3,)]
     assert in_period(scores, "user_engagement", "daily", AS_OF).count() == 4
+    start, end = period_window("scoring_patterns", "weekly", AS_OF)
+    assert (end - start).days == 28
     with pytest.raises(ValueError):
         in_period(scores, "top_players", "yearly", AS_OF)
 
