@@ -20,6 +20,17 @@ from podium.session import scratch  # noqa: E402
 from podium.sources import demo, fixtures, sinks  # noqa: E402
 from podium.streaming import activity, intake, live  # noqa: E402
 
+try:
+    from podium.llm import queries as llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("podium.llm", "podium.llm.queries", "corpus_pipeline"):
+        raise
+    llm = None
+except ImportError as missing:
+    if missing.name != "podium.llm":  # an empty folder that is left of the subpackage
+        raise
+    llm = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 AS_OF = fixtures.AS_OF
 ORDERS_AS_OF = fixtures.ORDERS_AS_OF
@@ -326,12 +337,17 @@ def _bind(query):
     return lambda spark, sf_dir: _tidy(query(Tables(spark, sf_dir)))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries of all but the llm subpackage."""
     return {name: _bind(query) for name, query in _query_table().items()}
 
 
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return own_queries() | (llm.queries() if llm else {})
+
+
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.oracle_sql(USER, GAME)
+    return oracle_queries.oracle_sql(USER, GAME) | (llm.oracle_sql() if llm else {})
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -18,7 +18,7 @@ def con():
     return duck(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.own_queries()))
 def test_query(spark, con, name):
     verdict, _ = compare(spark, con, SF_DIR, name, entry.queries()[name],
                          entry.oracle_sql().get(name))
@@ -48,7 +48,7 @@ def test_query_with_all_groups_split(spark, con, name, monkeypatch):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.own_queries()) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
