@@ -1,6 +1,8 @@
 """The operators of this folder as registered queries, and the SQL of those that SQL can express."""
 
-from podium.llm import decontaminate, shards, simhash, warc
+import public_tokenizers
+
+from podium.llm import decontaminate, frames, packing, quality, shards, simhash, warc
 from podium.llm.common import table
 
 SHARDS = 40
@@ -10,6 +12,11 @@ def _op1(spark, sf_dir):
     return warc.archived_pages(table(spark, sf_dir, "pages"))
 
 
+def _op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def _op4(spark, sf_dir):
     return decontaminate.contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -20,6 +27,17 @@ def _op5(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _op6(spark, sf_dir):
+    return packing.pack(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1
+    )
+
+
+def _op9(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return frames.round_trip(table(spark, sf_dir, "documents"), path, end_id=2)
+
+
 def _op10(spark, sf_dir):
     return shards.assign(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
@@ -27,8 +45,11 @@ def _op10(spark, sf_dir):
 def queries():
     return {
         "op1_warc": _op1,
+        "op2_quality": _op2,
         "op4_decontamination": _op4,
         "op5_simhash": _op5,
+        "op6_packing": _op6,
+        "op9_token_files": _op9,
         "op10_sharding": _op10,
     }
 

@@ -81,7 +81,8 @@ def _writer(folder, date, level, file_bytes):
                 row = dict(zip(names, row, strict=True))
                 if out is None:
                     name, records, size = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = store.open_output_stream(f"{base}/{name.rpartition('/')[2]}")
+                    place = f"{base}/{name.rpartition('/')[2]}"
+                    out = store.open_output_stream(place, compression=None)
                 data = _member(
                     record(
                         row["record_id"], row["url"], utf8(row["payload"]), row["payload_bytes"],
@@ -244,7 +245,7 @@ def _reader(chunk, batch_rows):
         for files in batches:
             for path in files.column("path").to_pylist():
                 store, place = filesystem(path)
-                with store.open_input_stream(place) as stream:
+                with store.open_input_stream(place, compression=None) as stream:
                     for row in read_archive(stream, chunk):
                         rows.append(row | {"path": path})
                         if len(rows) == batch_rows:
