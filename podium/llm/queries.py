@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from podium.llm import decontaminate, frames, packing, quality, shards, simhash, warc
+from podium.llm import counts, decontaminate, frames, packing, quality, shards, simhash, warc
 from podium.llm.common import table
 
 SHARDS = 40
@@ -33,6 +33,11 @@ def _op6(spark, sf_dir):
     )
 
 
+def _op7(spark, sf_dir):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return counts.token_counts(table(spark, sf_dir, "documents"), path)
+
+
 def _op9(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
     return frames.round_trip(table(spark, sf_dir, "documents"), path, end_id=2)
@@ -49,6 +54,7 @@ def queries():
         "op4_decontamination": _op4,
         "op5_simhash": _op5,
         "op6_packing": _op6,
+        "op7_token_counts": _op7,
         "op9_token_files": _op9,
         "op10_sharding": _op10,
     }
