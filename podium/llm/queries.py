@@ -2,7 +2,8 @@
 
 import public_tokenizers
 
-from podium.llm import counts, decontaminate, frames, packing, quality, shards, simhash, warc
+import corpus_pipeline
+from podium.llm import counts, decontaminate, frames, imatch, licenses, packing, quality, shards, simhash, warc
 from podium.llm.common import table
 
 SHARDS = 40
@@ -17,6 +18,10 @@ def _op2(spark, sf_dir):
     return quality.scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def _op3(spark, sf_dir):
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def _op4(spark, sf_dir):
     return decontaminate.contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -38,6 +43,10 @@ def _op7(spark, sf_dir):
     return counts.token_counts(table(spark, sf_dir, "documents"), path)
 
 
+def _op8(spark, sf_dir):
+    return licenses.dice_scan(table(spark, sf_dir, "documents"))
+
+
 def _op9(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
     return frames.round_trip(table(spark, sf_dir, "documents"), path, end_id=2)
@@ -51,12 +60,15 @@ def queries():
     return {
         "op1_warc": _op1,
         "op2_quality": _op2,
+        "op3_imatch": _op3,
         "op4_decontamination": _op4,
         "op5_simhash": _op5,
         "op6_packing": _op6,
         "op7_token_counts": _op7,
+        "op8_licenses": _op8,
         "op9_token_files": _op9,
         "op10_sharding": _op10,
+        "pipeline": corpus_pipeline.run,
     }
 
 
@@ -75,6 +87,51 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
+_TEMPLATES = ",\n    ".join(
+    "({}, '{}', '{}', '{}')".format(-number, *(x.replace("'", "''") for x in template))
+    for number, template in enumerate(licenses.TEMPLATES)
+)
+
+OP8_SQL = f"""
+WITH templates(ord, name, title, body) AS (VALUES
+    {_TEMPLATES}
+), docs AS (
+    SELECT row_number() OVER () AS r, doc_id, text FROM documents
+), units AS (
+    SELECT DISTINCT r, unnest(list_concat(string_split(text, chr(10)),
+        regexp_split_to_array(text, '\\n[ \\t]*\\n'), [text])) AS unit
+    FROM docs WHERE text IS NOT NULL
+), texts AS (
+    SELECT r, NULL AS ord, unit AS body FROM units
+    UNION ALL SELECT NULL, ord, body FROM templates
+), words AS (
+    SELECT r, ord, string_split(
+        trim(regexp_replace(lower(body), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w
+    FROM texts
+), pairs AS (
+    SELECT DISTINCT r, ord, list_sort(list_distinct(list_transform(
+        range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS p
+    FROM words WHERE len(w) > 1
+), unit_pairs AS (
+    SELECT r, row_number() OVER () AS u, p, len(p) AS a FROM pairs WHERE ord IS NULL
+), template_pairs AS (
+    SELECT ord, p AS q, len(p) AS b FROM pairs WHERE ord IS NOT NULL
+), dices AS (
+    SELECT r, u, ord, 2.0::DOUBLE * len(list_intersect(p, q)) / (a + b) AS dice
+    FROM unit_pairs JOIN template_pairs
+      ON b >= a * {0.8 / 1.2!r} AND b <= a * {1.2 / 0.8!r}
+), best AS (
+    SELECT r, u, max(struct_pack(dice := dice, ord := ord)) AS m
+    FROM dices WHERE dice >= 0.8 GROUP BY r, u
+), by_doc AS (
+    SELECT r, max(m) AS m, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, count(*) AS n
+    FROM best JOIN templates ON templates.ord = m.ord GROUP BY r
+)
+SELECT doc_id, name AS license, title AS template, m.dice AS dice,
+       coalesce(licenses, '') AS licenses, coalesce(n, 0) AS n_units
+FROM docs LEFT JOIN by_doc USING (r) LEFT JOIN templates ON templates.ord = by_doc.m.ord
+"""
+
 
 def oracle_sql():
-    return {"op1_warc": OP1_SQL}
+    return {"op1_warc": OP1_SQL, "op8_licenses": OP8_SQL}
