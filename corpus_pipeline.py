@@ -7,7 +7,7 @@ read again before the next: a lost executor costs no more than the stage it was
 import public_tokenizers
 
 from podium.llm import decontaminate, packing, quality, simhash
-from podium.llm.common import stored, table
+from podium.llm.common import importable, stored, table
 
 
 def good_quality(spark, docs, sf_dir):
@@ -20,6 +20,7 @@ def good_quality(spark, docs, sf_dir):
 
 def without_copies(spark, docs, sf_dir):
     """Keep one document of each group whose SimHash fingerprints are linked by two bits or fewer."""
+    importable(spark)
     return simhash.one_of_each(docs, shingle=3, bits=2)
 
 
@@ -30,6 +31,7 @@ def without_benchmark(spark, docs, sf_dir):
 
 def packed(spark, docs, sf_dir):
     """Pack the tokens of all documents into sequences of 2048; a row per piece."""
+    importable(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
 
