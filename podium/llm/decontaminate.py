@@ -8,6 +8,7 @@ whole item of fewer words.
 
 import hashlib
 import re
+import uuid
 from itertools import repeat
 
 import numpy as np
@@ -210,7 +211,7 @@ def _segments(items, window, segment):
 
 
 def _automata(items, window, item_bytes):
-    """Broadcast runs of item words, each list small enough for one automaton."""
+    """Broadcast (name, runs of item words), each small enough for one automaton."""
     sc = items.sparkSession.sparkContext
     runs = stored(_segments(items, window, max(SEGMENT, 2 * window)).distinct(), "items")
     total = runs.agg(F.sum(F.octet_length("words") + F.octet_length("item"))).first()[0] or 0
@@ -218,7 +219,7 @@ def _automata(items, window, item_bytes):
     group = F.pmod(F.xxhash64("item", "words"), F.lit(groups))
     for g in range(groups):
         rows = runs.filter(group == g).collect()  # about item_bytes of text
-        yield sc.broadcast([(r["item"], r["words"]) for r in rows])
+        yield sc.broadcast((uuid.uuid4().hex, [(r["item"], r["words"]) for r in rows]))
 
 
 _built = {}
@@ -226,11 +227,12 @@ _built = {}
 
 def _automaton(shared, window):
     """The automaton of a broadcast list, built once in each Python worker."""
-    key = (shared.id if hasattr(shared, "id") else id(shared), window, len(shared.value))
-    if key not in _built:
+    name, items = shared.value
+    if (name, window) not in _built:
         _built.clear()
-        _built[key] = Automaton([(i, w.encode().split()) for i, w in shared.value], window)
-    return _built[key]
+        runs = [(item, words.encode().split()) for item, words in items]
+        _built[name, window] = Automaton(runs, window)
+    return _built[name, window]
 
 
 # --- documents -----------------------------------------------------------------------------
