@@ -193,8 +193,8 @@ class Counter:
 
     def __init__(self, path, words_kept=WORDS_KEPT, chunk=CHUNK):
         made = json.loads(Path(path).read_text())
-        model, split = made["model"], made["pre_tokenizer"]["pretokenizers"]
-        steps = [n["type"] for n in made["normalizer"]["normalizers"]]
+        model, split = made["model"], (made["pre_tokenizer"] or {}).get("pretokenizers", [])
+        steps = [n["type"] for n in (made["normalizer"] or {}).get("normalizers", [])]
         if (
             model["type"] != "BPE"
             or not model["end_of_word_suffix"]

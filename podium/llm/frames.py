@@ -111,6 +111,8 @@ class Reader:
         self.places = np.concatenate(([0], np.cumsum(table[:, 0])))
         self.bounds = np.concatenate(([0], np.cumsum(table[:-1, 1]))) // 4
         self.checks = table[:, 2]
+        if not count or self.checks[-1] != checksum(b""):
+            raise Bad("a seek table without the directory")
         if self.places[-1] != start - 8:
             raise Bad("a seek table that does not cover its file")
         self._directory()

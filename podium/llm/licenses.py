@@ -161,21 +161,16 @@ def dice_scan(docs, templates=TEMPLATES, threshold=THRESHOLD):
     empty and 0. Repeated rows are each answered; an empty table gives no rows.
     """
     known = _templates(docs.sparkSession, templates)
-    # Dice is at most 2 * min / (a + b): beyond these factors of size no template can agree.
-    least, most = threshold / (2 - threshold), (2 - threshold) / threshold
-
     def best(pairs):
-        near = F.filter(
-            known, lambda t: (t["size"] >= F.size(pairs) * least) & (t["size"] <= F.size(pairs) * most)
-        )
+        def dice(common, t):
+            return F.lit(2.0) * common / (F.size(pairs) + t["size"])
+
+        # No template agrees better than if the smaller set were part of the larger one.
+        near = F.filter(known, lambda t: dice(F.least(F.size(pairs), t["size"]), t) >= threshold)
         compared = F.transform(
             near,
             lambda t: F.struct(
-                (
-                    F.lit(2.0)
-                    * F.size(F.array_intersect(pairs, t["pairs"]))
-                    / (F.size(pairs) + t["size"])
-                ).alias("dice"),
+                dice(F.size(F.array_intersect(pairs, t["pairs"])), t).alias("dice"),
                 t["order"].alias("order"),
                 t["name"].alias("name"),
                 t["title"].alias("title"),

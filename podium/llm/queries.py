@@ -119,7 +119,7 @@ WITH templates(ord, name, title, body) AS (VALUES
 ), dices AS (
     SELECT r, u, ord, 2.0::DOUBLE * len(list_intersect(p, q)) / (a + b) AS dice
     FROM unit_pairs JOIN template_pairs
-      ON b >= a * {0.8 / 1.2!r} AND b <= a * {1.2 / 0.8!r}
+      ON 2.0::DOUBLE * least(a, b) / (a + b) >= 0.8
 ), best AS (
     SELECT r, u, max(struct_pack(dice := dice, ord := ord)) AS m
     FROM dices WHERE dice >= 0.8 GROUP BY r, u
