@@ -19,8 +19,13 @@ def importable(spark):
         paths["PYTHONPATH"] = ":".join(filter(None, [paths.get("PYTHONPATH"), ROOT]))
 
 
+def mapped(rows, work, schema):
+    """``rows`` through a function over Arrow batches, in tasks."""
+    importable(rows.sparkSession)
+    return rows.mapInArrow(work, schema)
+
+
 def table(spark, sf_dir, name):
-    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import types as T
 
-from podium.llm.common import utf8
+from podium.llm.common import mapped, utf8
 
 CHUNK = 1 << 16  # characters mapped at once
 STATES_KEPT = 200_000
@@ -321,4 +321,4 @@ def token_counts(docs, tokenizer, limit=2048):
             T.StructField("over_limit", T.BooleanType()),
         ]
     )
-    return rows.mapInArrow(measure, schema)
+    return mapped(rows, measure, schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from podium.llm.common import free, stored, utf8
+from podium.llm.common import free, mapped, stored, utf8
 
 WINDOW = 10
 BLOCK = 1 << 20  # bytes of a document split into words at once
@@ -207,7 +207,7 @@ def _segments(items, window, segment):
             )
 
     named = F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id")
-    return items.select(named, "text").mapInArrow(split, "item string, words string")
+    return mapped(items.select(named, "text"), split, "item string, words string")
 
 
 def _automata(items, window, item_bytes):
@@ -281,7 +281,7 @@ def _marked(rows, shared, window, names):
             T.StructField(owners, T.ArrayType(T.StringType())),
         ]
     )
-    return rows.mapInArrow(mark, schema)
+    return mapped(rows, mark, schema)
 
 
 def marked(docs, items, names=("n_words", "spans", "items"), window=WINDOW, item_bytes=ITEM_BYTES):
@@ -357,7 +357,7 @@ def _cut_rows(rows, names, max_share, shared=None, window=WINDOW):
             yield whole.take(pa.array(keep, pa.int64()))
 
     schema = T.StructType([f for f in rows.schema.fields if f.name not in names])
-    return rows.mapInArrow(clean, schema)
+    return mapped(rows, clean, schema)
 
 
 def decontaminated(docs, items, window=WINDOW, max_share=0.5, item_bytes=ITEM_BYTES):

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from podium.llm.common import filesystem, in_tasks, stored
+from podium.llm.common import filesystem, in_tasks, mapped, stored
 from podium.llm.tokens import encoder
 from podium.session import scratch
 
@@ -215,7 +215,7 @@ def write(docs, folder, tokenizer, end_id, file_ids=FILE_IDS, frame_ids=FRAME_ID
     rows = rows.withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     work = _writer(folder, tokenizer, end_id, file_ids, frame_ids)
-    return stored(rows.drop("tie").mapInArrow(work, MANIFEST), "manifest")
+    return stored(mapped(rows.drop("tie"), work, MANIFEST), "manifest")
 
 
 def _starts(manifest):
@@ -262,7 +262,7 @@ def read(manifest):
     ``start`` counts the ids of all documents before it, over all files.
     """
     rows = in_tasks(_starts(manifest).select("path", "first"))
-    return rows.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return mapped(rows, _read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def fetch(manifest, wanted):
@@ -297,12 +297,12 @@ def fetch(manifest, wanted):
                 found, pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
             )
 
-    listed = in_tasks(manifest.select("path")).mapInArrow(
-        directory, "doc_id long, path string, document long"
+    listed = mapped(
+        in_tasks(manifest.select("path")), directory, "doc_id long, path string, document long"
     )
     places = listed.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     places = places.repartitionByRange("path", "document").sortWithinPartitions("path", "document")
-    return places.mapInArrow(unpack, "doc_id long, ids array<int>")
+    return mapped(places, unpack, "doc_id long, ids array<int>")
 
 
 def round_trip(docs, tokenizer, end_id, folder=None):

@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from podium.llm.common import mapped
 from podium.llm.tokens import encoder
 
 POOL = 2048  # examples to choose from
@@ -216,4 +217,4 @@ def pack(
     )
     id_type = to_arrow_type(rows.schema["doc_id"].dataType)
     work = _packing(tokenizer, id_type, prompt, end_id, packer, pool_size, keep_ids)
-    return rows.mapInArrow(work, schema)
+    return mapped(rows, work, schema)

@@ -15,11 +15,11 @@ import zstandard
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from podium.llm.common import utf8
+from podium.llm.common import importable, mapped, utf8
 
 PIECE = 2000  # bytes compressed at once, so that the dictionary matters throughout a long text
 DICT_BYTES = 1 << 18
-SAMPLE_ROWS = 2000  # labelled texts of each class, half for the dictionary, half for the curve
+SAMPLE_ROWS = 2000  # labelled texts of each class
 SAMPLE_PIECES = 4000  # pieces of a class that its dictionary is built from
 LEVEL = 3
 THRESHOLD = 0.3
@@ -91,7 +91,8 @@ def fit(docs, labels, sample_rows=SAMPLE_ROWS, sample_pieces=SAMPLE_PIECES):
 
     Learns from at most ``sample_rows`` texts of each class, chosen by a hash of doc_id among all
     labelled rows that are not held out; at most ``sample_pieces`` pieces of them reach the driver.
-    The curve is weighted by the number of labels of each class. Where a class has no texts, every
+    The curve is fitted on texts measured with dictionaries they are not in, and is weighted by the
+    number of labels of each class. Where a class has no texts, every
     score is the share of label 1, or 0.5 without labels.
     """
     known = (
@@ -108,12 +109,13 @@ def fit(docs, labels, sample_rows=SAMPLE_ROWS, sample_pieces=SAMPLE_PIECES):
         F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id"
     )
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(2))
-    dictionaries = [_dictionary(sample.filter((part == 0) & (F.col("quality") == q)), sample_pieces)
-                    for q in (0, 1)]
+    # The texts of each half are measured with dictionaries of the other half.
     rows = []
-    if all(dictionaries):
-        measured = measures(sample.filter(part == 1), *dictionaries, keep=("quality",))
-        rows = measured.select("quality", "measure").collect()
+    for half in (0, 1):
+        others = _dictionaries(sample.filter(part != half), sample_pieces)
+        if all(others):
+            measured = measures(sample.filter(part == half), *others, keep=("quality",))
+            rows += measured.select("quality", "measure").collect()
     y = np.array([r[0] for r in rows], float)
     if not len(y) or y.min() == y.max():
         share = good / (good + bad) if good + bad else 0.5
@@ -123,7 +125,11 @@ def fit(docs, labels, sample_rows=SAMPLE_ROWS, sample_pieces=SAMPLE_PIECES):
     ones = y.sum()
     weight = np.where(y == 1, good / ones, bad / (len(y) - ones))
     slope, bias = _curve(x, y, weight * len(y) / weight.sum())
-    return Model(*dictionaries, slope, bias)
+    return Model(*_dictionaries(sample, sample_pieces), slope, bias)
+
+
+def _dictionaries(sample, sample_pieces):
+    return [_dictionary(sample.filter(F.col("quality") == q), sample_pieces) for q in (0, 1)]
 
 
 def _dictionary(rows, sample_pieces):
@@ -160,7 +166,7 @@ def measures(docs, bad, good, keep=()):
     schema = T.StructType(
         [*(rows.schema[n] for n in ("doc_id", *keep)), T.StructField("measure", T.DoubleType())]
     )
-    return rows.mapInArrow(measure, schema)
+    return mapped(rows, measure, schema)
 
 
 def scores(docs, model, threshold=THRESHOLD):
@@ -189,4 +195,5 @@ def accepted(docs, model, threshold=THRESHOLD):
             found = np.array([value(t) for t in part], float)
             yield pd.Series(_logistic(found * model.slope + model.bias) >= threshold)
 
+    importable(docs.sparkSession)
     return docs.filter(good("text"))

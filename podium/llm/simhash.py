@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from podium.llm.common import free, stored, utf8
+from podium.llm.common import free, mapped, stored, utf8
 from podium.llm.graph import components
 
 SHINGLE = 3
@@ -65,7 +65,7 @@ def fingerprints(docs, shingle=SHINGLE):
 
     rows = docs.select("doc_id", "text")
     schema = T.StructType([rows.schema["doc_id"], T.StructField("bits", T.LongType())])
-    return rows.mapInArrow(mark, schema)
+    return mapped(rows, mark, schema)
 
 
 # --- links ---------------------------------------------------------------------------------
@@ -194,7 +194,7 @@ def links(prints, bits=BITS, key_bound=KEY_BOUND):
         more = not crowd.isEmpty()
         ready = rows.join(crowd, ["k", "v"], "left_anti") if more else rows
         ready = ready.repartition("k", "v").sortWithinPartitions("k", "v")
-        found.append(stored(ready.mapInArrow(_forest(bits), "a long, b long"), "links"))
+        found.append(stored(mapped(ready, _forest(bits), "a long, b long"), "links"))
         if not more:
             break
         rows = stored(_refined(rows.join(crowd, ["k", "v"], "left_semi"), keys), "refined")

@@ -14,7 +14,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from podium.llm.common import filesystem, in_tasks, stored, utf8
+from podium.llm.common import filesystem, in_tasks, mapped, stored, utf8
 from podium.session import scratch
 
 CHUNK = 1 << 16
@@ -107,7 +107,7 @@ def write(records, folder, date="1970-01-01T00:00:00Z", level=3, file_bytes=FILE
     Columns: record_id, url, payload (text), payload_bytes, payload_digest (SHA-256 in hex) and
     refers_to (record id, null for a response).
     """
-    rows = records.mapInArrow(_writer(folder, date, level, file_bytes), MANIFEST)
+    rows = mapped(records, _writer(folder, date, level, file_bytes), MANIFEST)
     return stored(rows, "manifest")
 
 
@@ -270,7 +270,7 @@ def read(manifest, chunk=CHUNK, batch_rows=4096):
 
     A file that is cut off, badly framed or does not match a digest stops the job with ``Bad``.
     """
-    return in_tasks(manifest.select("path")).mapInArrow(_reader(chunk, batch_rows), RECORDS)
+    return mapped(in_tasks(manifest.select("path")), _reader(chunk, batch_rows), RECORDS)
 
 
 # --- pages ---------------------------------------------------------------------------------
