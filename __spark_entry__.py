@@ -17,7 +17,7 @@ import oracle_queries  # noqa: E402
 from podium.operators import filters, ranking, standings, submissions  # noqa: E402
 from podium.plans import dashboards, reports, views  # noqa: E402
 from podium.session import scratch  # noqa: E402
-from podium.sources import demo, fixtures, sinks  # noqa: E402
+from podium.sources import demo, fixtures, sinks, tables  # noqa: E402
 from podium.streaming import activity, intake, live  # noqa: E402
 
 try:
@@ -34,6 +34,7 @@ except ImportError as missing:
 SMOKE_DIR = "/root/testdata/sf0.001"
 AS_OF = fixtures.AS_OF
 ORDERS_AS_OF = fixtures.ORDERS_AS_OF
+MIDWAY = "2024-01-15 12:00:00"
 USER = 8  # the user of single-user queries
 GAME = 1  # the game of single-game queries
 
@@ -165,6 +166,50 @@ def _rebuilt(t):
     return standings.stored_standings(t.spark, path).select("game_id", "user_id", "score")
 
 
+def _stored(t):
+    """The best standings, stored and read back."""
+    path = scratch(t.spark, "boards")
+    standings.store_standings(
+        standings.best_standings(t.scores, t.games).select(*standings.STORED.names), path
+    )
+    return standings.stored_standings(t.spark, path)
+
+
+def _live(t):
+    path, check = scratch(t.spark, "standings"), scratch(t.spark, "check")
+    _finish(live.start_live_standings(t.score_stream(), path, check, available_now=True))
+    return path
+
+
+def _after_clear(t):
+    """Sizes of the boards left when one of them is cleared, with the session in dynamic mode."""
+    path, mode = scratch(t.spark, "boards"), "spark.sql.sources.partitionOverwriteMode"
+    standings.store_standings(
+        standings.best_standings(t.scores, t.games).select(*standings.STORED.names), path
+    )
+    before = t.spark.conf.get(mode)
+    t.spark.conf.set(mode, "dynamic")
+    try:
+        standings.clear_board(t.spark, path, GAME)
+    finally:
+        t.spark.conf.set(mode, before)
+    return standings.board_sizes(standings.stored_standings(t.spark, path))
+
+
+def _scanned(t):
+    """Scores, games and users written as tables, read with their fixed schemas and counted."""
+    base = scratch(t.spark, "tables")
+    tables.write_scores(t.scores, f"{base}/scores")
+    t.games.write.parquet(f"{base}/games")
+    tables.store_users(t.users).write.parquet(f"{base}/users")
+    scores = tables.scan_scores(t.spark, base)
+    games, users = tables.scan_games(t.spark, base), tables.scan_users(t.spark, base)
+    named = filters.with_names(tables.newest_first(scores), games, users)
+    return named.groupBy("game_name", "user_email").agg(
+        F.count(F.lit(1)).alias("scores"), F.max("score").alias("best_score")
+    )
+
+
 def _without_demo(t):
     kept, _, _ = demo.without_demo(*t.demo_tables())
     return kept.groupBy("game_id").agg(F.count(F.lit(1)).alias("scores"))
@@ -217,6 +262,17 @@ def _query_table():
         "staff_neighbours": lambda t: ranking.neighbours_of(
             t.scores, t.games, _members(t, "is_staff")
         ),
+        "stored_board": lambda t: ranking.standing_board(
+            _stored(t), t.games, t.users, 0, 19, game_id=GAME
+        ),
+        "stored_user_rank": lambda t: ranking.standing_rank(_stored(t), t.games, USER, GAME),
+        "stored_neighbours": lambda t: ranking.standing_neighbours(
+            _stored(t), t.games, t.users, USER, GAME
+        ),
+        "live_global_board": lambda t: ranking.standing_global_board(
+            live.live_totals(t.spark, _live(t)), t.users
+        ),
+        "board_after_clear": _after_clear,
         "board_size": lambda t: standings.board_sizes(t.scores),
         "rebuild_selected": _rebuilt,
         # submissions
@@ -233,6 +289,7 @@ def _query_table():
         ),
         "submission_results": lambda t: submissions.submission_results(t.scores, t.games),
         "rate_limit_excess": lambda t: submissions.rate_limit_excess(t.scores),
+        "rate_limit_excess_daily": lambda t: submissions.rate_limit_excess(t.scores, 3, "day"),
         "rate_limit_excess_hourly": lambda t: submissions.rate_limit_excess(t.scores, 1, "hour"),
         "play_sessions": lambda t: submissions.play_sessions(t.scores),
         # reports
@@ -265,6 +322,17 @@ def _query_table():
         "improvement_patterns": lambda t: reports.improvement_patterns(t.scores, AS_OF),
         "metadata_patterns": lambda t: reports.metadata_patterns(t.scores, AS_OF),
         "submission_frequency": lambda t: reports.submission_frequency(t.scores, AS_OF),
+        # reports made in the middle of the data
+        "top_players_midway": lambda t: reports.top_players(
+            t.scores, t.games, t.users, MIDWAY, limit=None
+        ),
+        "game_performance_midway": lambda t: reports.game_performance(t.scores, t.games, MIDWAY),
+        "user_activity_midway": lambda t: reports.user_activity(t.scores, t.users, MIDWAY),
+        "competition_metrics_midway": lambda t: reports.competition_metrics(
+            t.scores, MIDWAY, GAME
+        ),
+        "peak_hours_midway": lambda t: reports.peak_hours(t.scores, MIDWAY),
+        "v_user_engagement_midway": lambda t: views.user_engagement(t.scores, t.users, MIDWAY),
         # views
         "v_game_analytics": lambda t: views.game_analytics(t.scores, t.games),
         "v_user_engagement": lambda t: views.user_engagement(t.scores, t.users, AS_OF),
@@ -285,6 +353,14 @@ def _query_table():
         ),
         "published_game_popularity": _published,
         # lists and filters
+        "scanned_tables": _scanned,
+        "totals": lambda t: demo.totals(t.scores, t.games, t.users),
+        "game_facets": lambda t: filters.game_facets(
+            t.games.join(t.scores.filter("score >= 400"), "game_id", "left_semi")
+        ),
+        "visible_scores": lambda t: filters.score_facets(
+            t.scores, filters.visible_games(t.games)
+        ),
         "active_games": lambda t: demo.scores_per_game(t.scores, filters.active_games(t.games)),
         "own_scores": lambda t: filters.own_scores(t.scores, t.games, USER),
         "search_scores": lambda t: filters.search_scores(

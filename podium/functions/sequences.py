@@ -19,7 +19,6 @@ from podium.functions.sizes import ROW_BOUND
 from podium.session import pinned
 
 GROUP_BOUND = 2_000_000  # rows that one task sorts with ease
-MAX_PIECES = 10_000  # beyond it pieces grow; the bounds come from a sample of a million rows
 
 PIECE = "_piece"
 WHOLE = -1
@@ -36,16 +35,19 @@ class Sequence:
 
     def _pieces(self, rows, counted):
         sizes = counted.groupBy(*self.group).count()
-        hot = sizes.filter(F.col("count") > self.bound)
+        # Held while the plan is made and run: the groups are counted once for all its uses. There
+        # is at most one hot group for every ``bound`` rows.
+        hot = sizes.filter(F.col("count") > self.bound).persist()
         keys, total = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum("count"), F.lit(0))).first()
         if not keys:
+            hot.unpersist()
             return rows.withColumn(PIECE, F.lit(WHOLE)), False
         hot = hot.select(*self.group)
         if keys <= ROW_BOUND:
             hot = F.broadcast(hot)
         # The bounds of a range partitioning are sampled, so it is computed once and written:
         # every later use must see the same pieces.
-        n = min(max(2, math.ceil(total / self.bound)), MAX_PIECES)
+        n = max(2, math.ceil(total / self.bound))
         pieces = pinned(
             rows.join(hot, self.group, "left_semi")
             .repartitionByRange(n, *self.group, *self.order)
@@ -83,16 +85,22 @@ class Sequence:
         return self
 
     def previous(self, out, col):
-        """``col`` of the row before, null for the first row. ``col`` itself must not be null."""
-        self.rows = self.rows.withColumn(out, F.lag(col).over(self._window()))
-        if self.split:
-            last = F.max_by(col, F.struct(*self.order)).alias("_last")
-            earlier = Window.partitionBy(*self.group).orderBy(PIECE)
-            carries = self._summary(last).select(
-                *self._piece_key, F.lag("_last").over(earlier).alias("_carry")
-            )
-            self._carry(carries)
-            self.rows = self.rows.withColumn(out, F.coalesce(out, "_carry")).drop("_carry")
+        """``col`` of the row before, null for the first row."""
+        if not self.split:
+            self.rows = self.rows.withColumn(out, F.lag(col).over(self._window()))
+            return self
+        # In a struct a null value differs from the missing row before the first of a piece, and
+        # only that one is filled from the piece before.
+        held = F.struct(F.col(col).alias("value"))
+        last = F.max_by(held, F.struct(*self.order)).alias("_last")
+        earlier = Window.partitionBy(*self.group).orderBy(PIECE)
+        carries = self._summary(last).select(
+            *self._piece_key, F.lag("_last").over(earlier).alias("_carry")
+        )
+        self.rows = self.rows.withColumn(out, F.lag(held).over(self._window()))
+        self._carry(carries)
+        found = F.coalesce(F.col(out), F.col("_carry"))["value"]
+        self.rows = self.rows.withColumn(out, found).drop("_carry")
         return self
 
     def running(self, out, fold, combine, col, inclusive=False):

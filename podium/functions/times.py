@@ -40,10 +40,22 @@ def moment(value, like=None):
     return F.lit(as_datetime(value).isoformat(sep=" ")).cast(kind)
 
 
-def since(scores, start):
-    """Scores submitted at or after ``start``."""
+def since(scores, start, end=None):
+    """Scores submitted from ``start`` on, up to and with ``end`` where one is given.
+
+    Stored scores are laid out by day; where the column is there, other days are not opened.
+    """
     kind = scores.schema["submitted_at"].dataType
-    return scores.filter(F.col("submitted_at") >= moment(start, kind))
+    rows = scores.filter(F.col("submitted_at") >= moment(start, kind))
+    if end is not None:
+        rows = rows.filter(F.col("submitted_at") <= moment(end, kind))
+    if "day" in scores.columns and isinstance(scores.schema["day"].dataType, T.DateType):
+        # A day more on both sides, since the folders may be named in another zone.
+        first = as_datetime(start).date() - timedelta(days=1)
+        rows = rows.filter(F.col("day") >= F.lit(first))
+        if end is not None:
+            rows = rows.filter(F.col("day") <= F.lit(as_datetime(end).date() + timedelta(days=1)))
+    return rows
 
 
 def period_window(report, period, as_of):
@@ -53,8 +65,8 @@ def period_window(report, period, as_of):
 
 
 def in_period(scores, report, period, as_of):
-    """Scores since the start of the report's window."""
-    return since(scores, period_window(report, period, as_of)[0])
+    """Scores within the report's window."""
+    return since(scores, *period_window(report, period, as_of))
 
 
 def local_time(ts, tz="UTC"):
@@ -91,8 +103,17 @@ def day_name(dow):
     return F.element_at(names, (dow + 1).cast("int"))
 
 
+def micros_of(ts):
+    """Microseconds from 1970 to a stored time. No session zone takes part, so none folds times."""
+    wall = (F.col(ts) if isinstance(ts, str) else ts).cast("timestamp_ntz")
+    second = F.extract(F.lit("SECOND"), wall) * 1_000_000
+    minutes = (F.hour(wall) * 60 + F.minute(wall)).cast("bigint")
+    days = F.unix_date(wall.cast("date")).cast("bigint")
+    return days * DAY_MICROS + minutes * 60_000_000 + second.cast("bigint")
+
+
 def micros_between(start, end):
-    return F.timestamp_diff("MICROSECOND", start, end)
+    return micros_of(end) - micros_of(start)
 
 
 def span_days(start, end):

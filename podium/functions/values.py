@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from podium.functions.times import micros_of
 from podium.schemas import HIGHEST
 
 
@@ -56,7 +57,7 @@ def event_key(ts="submitted_at", id="id"):
     microseconds, 19 more the id.
     """
     shift = F.expr("cast('10000000000000000000' as decimal(20,0))")
-    micros = F.unix_micros(F.col(ts).cast("timestamp")).cast("decimal(18,0)")
+    micros = micros_of(ts).cast("decimal(18,0)")
     return ((micros * shift).cast("decimal(38,0)") + F.col(id)).cast("decimal(38,0)")
 
 

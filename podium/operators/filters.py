@@ -97,6 +97,20 @@ def score_facets(scores, games):
     return part("game", "game_name").unionByName(part("score_type", "score_type"))
 
 
+def game_facets(games, tz="UTC"):
+    """Games by activity, score type and day of creation as (facet, value, count)."""
+    facets = {
+        "is_active": F.col("is_active").cast("string"),
+        "score_type": F.col("score_type"),
+        "created": F.to_date(local_time("created_at", tz)).cast("string"),
+    }
+    each = F.array(
+        *(F.struct(F.lit(n).alias("facet"), c.alias("value")) for n, c in facets.items())
+    )
+    spread = games.select(F.explode(each).alias("f"))
+    return spread.groupBy("f.facet", "f.value").agg(F.count(F.lit(1)).alias("count"))
+
+
 def date_drilldown(scores, tz="UTC"):
     """Counts by year, year and month, and full date; coarser rows have nulls."""
     # Counted per day first, so the rollup expands days and not scores.

@@ -88,6 +88,11 @@ def ranked_standings(board, games, as_stored=False, bound=None):
     return ranked.drop("_key", "_member")
 
 
+def of_one_game(rows, game_id):
+    """The rows of a game, or all; on stored standings only that game's folder is read."""
+    return rows if game_id is None else rows.filter(F.col("game_id") == game_id)
+
+
 def game_board(
     scores, games, users, start=0, end=99, kind=BEST, as_stored=False, game_id=None, bound=None
 ):
@@ -95,10 +100,16 @@ def game_board(
 
     ``as_stored`` gives the reversed order the live boards are read in (worst first).
     """
+    board = standings(of_one_game(scores, game_id), games, kind)
+    return standing_board(board, games, users, start, end, as_stored, game_id, bound)
+
+
+def standing_board(
+    board, games, users, start=0, end=99, as_stored=False, game_id=None, bound=None
+):
+    """As :func:`game_board`, of standings that are at hand: game_id, user_id, score."""
     _check_range(start, end)
-    if game_id is not None:
-        scores = scores.filter(F.col("game_id") == game_id)
-    keyed = _keyed(standings(scores, games, kind), games, as_stored)
+    keyed = _keyed(of_one_game(board, game_id), games, as_stored)
     ranked = _positions(keyed, ["game_id"], _order(as_stored), start + 1, end + 1, bound)
     # A page is small beside the users, who then need no shuffle to get their names attached.
     if game_id is not None and end < TOP_BOUND:
@@ -119,18 +130,22 @@ def _global_keyed(board):
     )
 
 
+def _global_positions(keyed, first, last, bound=None):
+    """Rows of the global board whose rank lies in first..last."""
+    if last > TOP_BOUND:
+        return _positions(keyed, ["board"], _order(False), first, last, bound)
+    # A top-k without a partition key: sorted per task, then merged.
+    top = keyed.orderBy("_key", "_member").limit(last)
+    w = Window.partitionBy("board").orderBy("_key", "_member")
+    ranked = top.withColumn("rank", F.row_number().over(w).cast("bigint"))
+    return ranked.filter(F.col("rank") >= first)
+
+
 def _global_page(board, users, start, end, bound=None):
     _check_range(start, end)
-    keyed = _global_keyed(board)
+    ranked = _global_positions(_global_keyed(board), start + 1, end + 1, bound)
     if end < TOP_BOUND:
-        # A top-k without a partition key: sorted per task, then merged.
-        top = keyed.orderBy("_key", "_member").limit(end + 1)
-        w = Window.partitionBy("board").orderBy("_key", "_member")
-        ranked = top.withColumn("rank", F.row_number().over(w).cast("bigint"))
-        ranked = F.broadcast(ranked.filter(F.col("rank") > start))  # at most end + 1 rows
-    else:
-        order = [F.col("_key"), F.col("_member")]
-        ranked = _positions(keyed, ["board"], order, start + 1, end + 1, bound)
+        ranked = F.broadcast(ranked)  # at most end + 1 rows
     return _named(ranked, users, "total_score")
 
 
@@ -139,43 +154,57 @@ def global_board(scores, users, start=0, end=99, bound=None):
     return _global_page(global_latest(scores), users, start, end, bound)
 
 
+def standing_global_board(totals, users, start=0, end=99, bound=None):
+    """As :func:`global_board`, of one row per user that is at hand: user_id, total_score."""
+    return _global_page(totals, users, start, end, bound)
+
+
 def global_total_board(scores, games, users, start=0, end=99, bound=None):
     """Users by the sum of their best scores over games where high scores win."""
     return _global_page(global_total(scores, games), users, start, end, bound)
 
 
 def board_page(scores, games, users, game_id, page=1, page_size=20, kind=BEST):
-    """One page of a game's board with paging columns; has_next looks one position ahead."""
+    """One page of a game's board with paging columns; has_next looks one position ahead.
+
+    A page without players is one row with the paging columns and nulls beside them.
+    """
+    board = standings(of_one_game(scores, game_id), games, kind)
+    return standing_page(board, games, users, game_id, page, page_size)
+
+
+def standing_page(board, games, users, game_id, page=1, page_size=20, bound=None):
+    """As :func:`board_page`, of standings that are at hand."""
     start, end = page_bounds(page, page_size)
-    keyed = _keyed(
-        standings(scores.filter(F.col("game_id") == game_id), games, kind), games, False
-    )
-    ahead = _positions(keyed, ["game_id"], _order(False), start + 1, end + 2)
+    keyed = _keyed(of_one_game(board, game_id), games, False)
+    ahead = _positions(keyed, ["game_id"], _order(False), start + 1, end + 2, bound)
     return _paged(ahead, users, "score", page, start, end)
 
 
-def global_page(scores, users, page=1, page_size=20):
-    """One page of the global board with paging columns."""
+def global_page(scores, users, page=1, page_size=20, bound=None):
+    """One page of the global board with paging columns; empty pages as in :func:`board_page`."""
     start, end = page_bounds(page, page_size)
-    keyed = _global_keyed(global_latest(scores))
-    top = keyed.orderBy("_key", "_member").limit(end + 2)
-    w = Window.partitionBy("board").orderBy("_key", "_member")
-    ranked = top.withColumn("rank", F.row_number().over(w).cast("bigint"))
-    return _paged(ranked.filter(F.col("rank") > start), users, "total_score", page, start, end)
+    ahead = _global_positions(_global_keyed(global_latest(scores)), start + 1, end + 2, bound)
+    return _paged(ahead, users, "total_score", page, start, end)
 
 
 def _paged(ahead, users, value, page, start, end):
-    """Rows start+1..end+2 of a board (at most 101) become a page plus the look-ahead flag."""
-    w = Window.partitionBy(F.lit(0))
-    flagged = ahead.withColumn("has_next", F.max("rank").over(w) > end + 1)
-    flagged = flagged.filter(F.col("rank") <= end + 1)
+    """Rows start+1..end+2 of a board (at most 101) become a page plus the look-ahead flag.
+
+    Gathered into one row first, so an empty page still has its paging columns.
+    """
     people = users.select("user_id", "email", "name")
-    return F.broadcast(flagged).join(people, "user_id").select(
-        "rank",
-        "user_id",
-        F.col("email").alias("username"),
-        display_name().alias("name"),
-        value,
+    named = F.broadcast(ahead).join(people, "user_id").select(
+        "rank", "user_id", F.col("email").alias("username"), display_name().alias("name"), value
+    )
+    of = ["rank", "user_id", "username", "name", value]
+    looked = ahead.agg(F.coalesce(F.max("rank") > end + 1, F.lit(False)).alias("has_next"))
+    shown = named.filter(F.col("rank") <= end + 1).agg(F.collect_list(F.struct(*of)).alias("rows"))
+    both = looked.withColumn("_page", F.lit(page)).join(
+        shown.withColumn("_page", F.lit(page)), "_page"
+    )
+    return both.select("has_next", F.explode_outer("rows").alias("row")).select(
+        "row.*",
         F.lit(page).cast("bigint").alias("page"),
         F.lit(end - start + 1).cast("bigint").alias("page_size"),
         "has_next",
@@ -189,9 +218,9 @@ def _better(key, who, own_key, own_member):
     )
 
 
-def _targets(scores, games, user_id, kind):
-    """The user's own position keys, at most one row per game; reads only the user's scores."""
-    mine = standings(scores.filter(F.col("user_id") == user_id), games, kind)
+def _targets(board, games, user_id):
+    """The user's own position keys, at most one row per game; reads only the user's rows."""
+    mine = board.filter(F.col("user_id") == user_id)
     own = _keyed(mine, games, False).select(
         "game_id",
         F.col("_key").alias("_own_key"),
@@ -206,10 +235,15 @@ def user_rank(scores, games, user_id, game_id=None, kind=BEST):
 
     Counts the better members in one aggregate, so no board is sorted.
     """
-    if game_id is not None:
-        scores = scores.filter(F.col("game_id") == game_id)
-    keyed = _keyed(standings(scores, games, kind), games, False)
-    own = _targets(scores, games, user_id, kind)
+    board = standings(of_one_game(scores, game_id), games, kind)
+    return standing_rank(board, games, user_id, game_id)
+
+
+def standing_rank(board, games, user_id, game_id=None):
+    """As :func:`user_rank`, of standings that are at hand."""
+    board = of_one_game(board, game_id)
+    keyed = _keyed(board, games, False)
+    own = _targets(board, games, user_id)
     against = keyed.join(own, "game_id")
     return against.groupBy("game_id").agg(
         (F.count_if(_better("_key", "_member", "_own_key", "_own_member")) + 1).alias("user_rank"),
@@ -220,8 +254,13 @@ def user_rank(scores, games, user_id, game_id=None, kind=BEST):
 
 def user_global_rank(scores, user_id):
     """Rank, last raw score and board size of one user on the global board."""
-    keyed = _global_keyed(global_latest(scores))
-    mine = _global_keyed(global_latest(scores.filter(F.col("user_id") == user_id)))
+    return standing_global_rank(global_latest(scores), user_id)
+
+
+def standing_global_rank(totals, user_id):
+    """As :func:`user_global_rank`, of one row per user that is at hand."""
+    keyed = _global_keyed(totals)
+    mine = _global_keyed(totals.filter(F.col("user_id") == user_id))
     own = mine.select(F.struct("_key", "_member", "total_score")).scalar()
     against = keyed.select("_key", "_member", own.alias("_own"))
     ranked = against.agg(
@@ -238,10 +277,15 @@ def surrounding_players(scores, games, users, user_id, game_id=None, reach=5, ki
     The neighbours are the nearest better and the nearest worse members: a top-k per game and side
     instead of a sorted board.
     """
-    if game_id is not None:
-        scores = scores.filter(F.col("game_id") == game_id)
-    keyed = _keyed(standings(scores, games, kind), games, False)
-    own = _targets(scores, games, user_id, kind)
+    board = standings(of_one_game(scores, game_id), games, kind)
+    return standing_neighbours(board, games, users, user_id, game_id, reach)
+
+
+def standing_neighbours(board, games, users, user_id, game_id=None, reach=5):
+    """As :func:`surrounding_players`, of standings that are at hand."""
+    board = of_one_game(board, game_id)
+    keyed = _keyed(board, games, False)
+    own = _targets(board, games, user_id)
     placed = keyed.join(own, "game_id").withColumn(
         "_above", _better("_key", "_member", "_own_key", "_own_member")
     )
@@ -265,15 +309,24 @@ def surrounding_players(scores, games, users, user_id, game_id=None, reach=5, ki
     return _named(per_game(ranked, games, 2 * reach + 1), users, "score")
 
 
-def ranks_of(scores, games, wanted, kind=BEST, bound=None):
-    """Rank, score and board size of many (game_id, user_id) rows at once."""
-    chosen = scores.join(touched_games(wanted, games), "game_id", "left_semi")
-    board = standings(chosen, games, kind)
+def ranks_of(scores, games, wanted=None, kind=BEST, bound=None):
+    """Rank, score and board size of many (game_id, user_id) rows at once; of all by default."""
+    if wanted is not None:
+        scores = scores.join(touched_games(wanted, games), "game_id", "left_semi")
+    return standing_ranks(standings(scores, games, kind), games, wanted, bound)
+
+
+def standing_ranks(board, games, wanted=None, bound=None):
+    """As :func:`ranks_of`, of standings that are at hand."""
+    if wanted is not None:
+        board = board.join(touched_games(wanted, games), "game_id", "left_semi")
     ranked = ranked_standings(board, games, bound=bound)
     sizes = ranked.groupBy("game_id").agg(F.count(F.lit(1)).alias("total_players"))
+    if wanted is not None:
+        pairs = wanted.select("game_id", "user_id").distinct()
+        ranked = ranked.join(pairs, ["game_id", "user_id"])
     return (
-        ranked.join(wanted.select("game_id", "user_id").distinct(), ["game_id", "user_id"])
-        .join(per_game(sizes, games), "game_id")
+        ranked.join(per_game(sizes, games), "game_id")
         .select(
             "game_id",
             "user_id",

@@ -92,9 +92,18 @@ def _dynamic(writer):
     return writer.option("partitionOverwriteMode", "dynamic").mode("overwrite")
 
 
+def _static(writer):
+    return writer.option("partitionOverwriteMode", "static").mode("overwrite")
+
+
 def store_standings(board, path):
-    """Write standings, one folder per game; only the games present are replaced."""
-    _dynamic(board.write).partitionBy("game_id").parquet(path)
+    """Write standings, one folder per game; only the games present are replaced.
+
+    Rows are dealt out by game first, large games in several parts of a sensible size, so a game
+    has few files however many tasks made its rows.
+    """
+    dealt = board.hint("rebalance", "game_id")
+    _dynamic(dealt.write).partitionBy("game_id").parquet(path)
 
 
 def rebuild(scores, games, selected, path):
@@ -106,10 +115,10 @@ def clear_board(spark, path, game_id=None):
     """Leave no rows of one game, or of any game, in the stored boards."""
     empty = spark.createDataFrame([], STORED)
     if game_id is None:
-        empty.write.mode("overwrite").partitionBy("game_id").parquet(path)
+        _static(empty.write).partitionBy("game_id").parquet(path)
     else:
         folder = f"{path.rstrip('/')}/game_id={int(game_id)}"
-        empty.drop("game_id").write.mode("overwrite").parquet(folder)
+        _static(empty.drop("game_id").write).parquet(folder)
 
 
 def stored_standings(spark, path):

@@ -3,11 +3,11 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from podium.functions.sequences import Sequence
+from podium.functions.sequences import Sequence, numbered
 from podium.functions.sizes import counted_broadcast
-from podium.functions.times import bucket
-from podium.functions.values import is_highest, sort_key
-from podium.operators.ranking import page_bounds, ranks_of
+from podium.functions.times import bucket, micros_between
+from podium.functions.values import event_key, is_highest, sort_key
+from podium.operators.ranking import TOP_BOUND, page_bounds, ranks_of
 from podium.operators.standings import BEST
 from podium.schemas import SCORE
 from podium.session import pinned
@@ -17,23 +17,50 @@ WHOLE_DIGITS = 10
 DECIMALS = 2
 RATE_LIMIT = 30
 
+# Sign, whole digits and decimals (or decimals alone), sign and digits of an exponent.
+NUMBER = r"^([+-]?)(?:(\d+)(?:\.(\d*))?|\.(\d+))(?:[eE]([+-]?)(\d+))?$"
+
+
+def _digits(text):
+    """(sign, significant digits, how many of them are decimals) of the text of a number.
+
+    Nothing is rounded: zeros at either end are taken off and the exponent moves the point. Beyond
+    nine digits an exponent counts as the largest of nine.
+    """
+    def part(n):
+        return F.regexp_extract(text, NUMBER, n)
+
+    every = F.regexp_replace(F.concat(part(2), part(3), part(4)), "^0+", "")
+    digits = F.regexp_replace(every, "0+$", "")
+    shift = F.regexp_replace(part(6), "^0+", "")
+    shift = F.when(F.length(shift) > 9, F.lit(999_999_999)).otherwise(
+        F.coalesce(shift.try_cast("int"), F.lit(0))
+    )
+    shift = F.when(part(5) == "-", -shift).otherwise(shift)
+    decimals = F.length(F.concat(part(3), part(4))) - shift - (F.length(every) - F.length(digits))
+    return part(1), digits, decimals
+
 
 def judged(submissions, games):
     """Submissions with ``reject_reason`` (null when valid) and the score as decimal.
 
+    Digits are counted in the text, before any cast could round them. Zeros at the end are no
+    decimals (1.000 is valid), and minus zero is zero.
     The games table is the static side, so this also runs on a stream.
     """
     known = games.select("game_id", F.col("is_active").alias("_active"))
-    number = F.col("score").cast("string").try_cast("decimal(38,10)")
+    text = F.trim(F.col("score").cast("string"))
+    sign, digits, decimals = _digits(text)
     joined = submissions.join(known, "game_id", "left")
     reason = (
         F.when(F.col("_active").isNull(), "game_not_found")
         .when(~F.col("_active"), "game_inactive")
-        .when(number.isNull(), "score_not_a_number")
-        .when(number < 0, "score_negative")
-        .when(number != F.round(number, DECIMALS), "too_many_decimals")
-        .when(number >= F.lit(10**WHOLE_DIGITS), "too_many_digits")
+        .when(~F.coalesce(text.rlike(NUMBER), F.lit(False)), "score_not_a_number")
+        .when((sign == "-") & (digits != ""), "score_negative")
+        .when((digits != "") & (decimals > DECIMALS), "too_many_decimals")
+        .when((digits != "") & (F.length(digits) - decimals > WHOLE_DIGITS), "too_many_digits")
     )
+    number = F.when(digits == "", F.lit("0")).otherwise(text)
     return joined.select(
         "id",
         "user_id",
@@ -81,58 +108,91 @@ def user_best(scores, games, user_id=None, game_id=None):
     if game_id is not None:
         scores = scores.filter(F.col("game_id") == game_id)
     typed = scores.join(games.select("game_id", "score_type"), "game_id")
-    first = F.min(F.struct(sort_key().alias("key"), "submitted_at", "id", "score")).alias("best")
-    best = typed.groupBy("user_id", "game_id").agg(first)
-    return best.select("user_id", "game_id", "best.id", "best.score", "best.submitted_at")
+    # Per score first, then the best score: keys of fixed width, so both are hash aggregates.
+    keyed = typed.select(
+        "user_id",
+        "game_id",
+        "id",
+        "score",
+        "submitted_at",
+        event_key().alias("_event"),
+        sort_key().alias("_key"),
+    )
+    each = keyed.groupBy("user_id", "game_id", "_key").agg(
+        F.min_by("id", "_event").alias("id"),
+        F.first("score").alias("score"),
+        F.min("submitted_at").alias("submitted_at"),
+    )
+    return each.groupBy("user_id", "game_id").agg(
+        *(F.min_by(c, "_key").alias(c) for c in ("id", "score", "submitted_at"))
+    )
 
 
-def score_history(scores, games, user_id, game_id, page=1, page_size=20):
+def score_history(scores, games, user_id, game_id, page=1, page_size=20, bound=None):
     """One page of a user's scores in a game, newest first."""
     start, end = page_bounds(page, page_size)
-    rows = _history(scores, games, user_id, game_id)
-    return rows.offset(start).limit(end - start + 1)
+    placed = _history_places(scores, games, user_id, game_id, start + 1, end + 1, bound)
+    return placed.orderBy("_place").drop("_place")
 
 
 def score_history_top(scores, games, user_id, game_id, limit=None):
     """A user's scores in a game, newest first; all of them unless ``limit`` is given."""
-    rows = _history(scores, games, user_id, game_id)
+    rows = _history(scores, games, user_id, game_id).orderBy(*_newest())
     return rows if limit is None else rows.limit(limit)
 
 
-def history_page(scores, games, user_id, game_id, page=1, page_size=20):
-    """As :func:`score_history`, with paging columns; has_next looks one row ahead."""
+def history_page(scores, games, user_id, game_id, page=1, page_size=20, bound=None):
+    """As :func:`score_history`, with paging columns; has_next looks one row ahead.
+
+    A page without scores is one row with the paging columns and nulls beside them.
+    """
     start, end = page_bounds(page, page_size)
     size = end - start + 1
-    ahead = _history(scores, games, user_id, game_id).offset(start).limit(size + 1)
-    # At most 101 rows from here on.
-    newest = Window.partitionBy(F.lit(0)).orderBy(F.desc("submitted_at"), F.desc("id"))
-    placed = ahead.withColumn("_place", F.row_number().over(newest)).withColumn(
-        "has_next", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) > size
-    )
-    return placed.filter(F.col("_place") <= size).select(
-        *ahead.columns,
+    ahead = _history_places(scores, games, user_id, game_id, start + 1, end + 2, bound)
+    row = F.struct(*(c for c in ahead.columns if c != "_place"))
+    shown = F.collect_list(F.when(F.col("_place") <= end + 1, row))  # at most 100 rows
+    gathered = ahead.agg(
+        shown.alias("rows"),
+        F.coalesce(F.max("_place") > end + 1, F.lit(False)).alias("has_next"),
+    )
+    return gathered.select("has_next", F.explode_outer("rows").alias("row")).select(
+        "row.*",
         F.lit(page).cast("bigint").alias("page"),
         F.lit(size).cast("bigint").alias("page_size"),
         "has_next",
     )
 
 
+def _newest():
+    return [F.desc("submitted_at"), F.desc("id")]
+
+
 def _history(scores, games, user_id, game_id):
     mine = scores.filter((F.col("user_id") == user_id) & (F.col("game_id") == game_id))
-    return (
-        mine.join(games.select("game_id", "game_name"), "game_id")
-        .select("id", "game_name", "score", "submitted_at", "metadata")
-        .orderBy(F.desc("submitted_at"), F.desc("id"))
+    return mine.join(games.select("game_id", "game_name"), "game_id").select(
+        "id", "game_name", "score", "submitted_at", "metadata"
     )
 
 
+def _history_places(scores, games, user_id, game_id, first, last, bound):
+    """Rows first..last of a history with their ``_place``. Deep ones are numbered in pieces."""
+    rows = _history(scores, games, user_id, game_id)
+    if last <= TOP_BOUND:
+        newest = Window.partitionBy(F.lit(0)).orderBy(*_newest())
+        placed = rows.orderBy(*_newest()).limit(last).withColumn("_place", F.row_number().over(newest))
+    else:
+        every = rows.withColumn("_all", F.lit(0))
+        placed = numbered(every, ["_all"], _newest(), "_place", bound).drop("_all")
+    return placed.filter(F.col("_place").between(first, last))
+
+
 def submission_results(scores, games, new_ids=None, kind=BEST, bound=None):
     """What a submitter is told: score, personal-best flag, rank and board size after the write.
 
     ``new_ids`` (a DataFrame with ``id``) limits the answer to a batch of new submissions.
     """
     flags = personal_best_flags(scores, games, bound)
-    wanted = scores
+    wanted = None
     if new_ids is not None:
         flags = flags.join(new_ids.select("id"), "id", "left_semi")
         wanted = scores.join(new_ids.select("id"), "id", "left_semi")
@@ -180,7 +240,7 @@ def play_sessions(scores, gap_minutes=30, bound=None):
     seq = Sequence(rows, ["user_id"], ["submitted_at", "id"], bound).previous(
         "_last", "submitted_at"
     )
-    pause = F.timestamp_diff("MICROSECOND", F.col("_last"), F.col("submitted_at"))
+    pause = micros_between("_last", "submitted_at")
     starts = F.when(F.col("_last").isNull() | (pause > gap), F.col("submitted_at"))
     # The session of a row is the latest start up to it.
     seq.derive("_start", starts).running(
@@ -189,5 +249,5 @@ def play_sessions(scores, gap_minutes=30, bound=None):
     sessions = seq.done().groupBy("user_id", "session_start").agg(
         F.max("submitted_at").alias("session_end"), F.count(F.lit(1)).alias("submissions")
     )
-    length = F.timestamp_diff("MICROSECOND", F.col("session_start"), F.col("session_end"))
+    length = micros_between("session_start", "session_end")
     return sessions.withColumn("length_seconds", length.cast("double") / F.lit(1e6))

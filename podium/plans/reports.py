@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from podium.functions.quantiles import percentiles
 from podium.functions.ranks import with_rank
+from podium.functions.sequences import numbered
 from podium.functions.times import (
     BUCKET_UNIT,
     as_datetime,
@@ -31,6 +32,7 @@ from podium.functions.values import (
 )
 from podium.operators.filters import has_metadata, of_game
 from podium.operators.ranking import TOP_BOUND, game_board
+from podium.session import pinned
 
 
 def _limited(rows, limit):
@@ -46,9 +48,10 @@ def top_players(
     """Best players of the period, ranked 1..n; a user appears once per score type.
 
     The best score is the maximum, or with ``direction_aware`` the best by score type.
-    Every score has a user, so the cut comes before users are joined.
+    Every score has a user, so the cut comes before users are joined. ``limit=None`` gives all.
     """
-    limit = max(1, min(limit, 100))
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be at least 1")
     chosen = of_game(in_period(scores, "top_players", period, as_of), game_id)
     typed = chosen.join(games.select("game_id", "score_type"), "game_id")
     stats = typed.groupBy("user_id", "score_type").agg(
@@ -62,9 +65,16 @@ def top_players(
     best = best_of(F.col("top"), F.col("low")) if direction_aware else F.col("top")
     stats = stats.withColumn("best_score", best)
     order = [F.desc("best_score"), F.asc("user_id"), F.asc("score_type")]
-    top = stats.orderBy(*order).limit(limit)
-    ranked = top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
-    return F.broadcast(ranked).join(users, "user_id").select(
+    if limit is not None and limit <= TOP_BOUND:
+        top = stats.orderBy(*order).limit(limit)
+        first = Window.partitionBy(F.lit(0)).orderBy(*order)
+        ranked = F.broadcast(top.withColumn("rank", F.row_number().over(first)))
+    else:
+        # The rank of all, numbered in pieces; the groups are written once for its passes.
+        every = pinned(stats.withColumn("_all", F.lit(0)))
+        ranked = numbered(every, ["_all"], order, "rank")
+        ranked = ranked if limit is None else ranked.filter(F.col("rank") <= limit)
+    return ranked.join(users, "user_id").select(
         F.col("rank").cast("bigint").alias("rank"),
         "user_id",
         F.col("email").alias("username"),

@@ -69,7 +69,9 @@ def game_analytics(scores, games):
 
 
 def user_engagement(scores, users, as_of, tz="UTC"):
-    """One row per user, users without scores included."""
+    """One row per user, users without scores up to ``as_of`` included."""
+    now = moment(as_of, scores.schema["submitted_at"].dataType)
+    scores = scores.filter(F.col("submitted_at") <= now)
     # Two narrow groupings instead of two distinct counts, which would multiply the rows.
     played = (
         scores.groupBy("user_id", "game_id")
@@ -98,7 +100,6 @@ def user_engagement(scores, users, as_of, tz="UTC"):
         .groupBy("user_id")
         .agg(F.count(F.lit(1)).alias("active_days"))
     )
-    now = moment(as_of, scores.schema["submitted_at"].dataType)
     last = F.col("last_submission")
     status = (
         F.when(last >= now - F.expr("interval 7 days"), "Active")

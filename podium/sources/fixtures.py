@@ -133,12 +133,23 @@ def submissions_from_events(events):
         .cast("decimal(38,3)")
         .cast("string")
     )
+    # Texts that a cast to a number would round or lose.
+    score = (
+        F.when(k == 23, F.lit("abc"))
+        .when(k == 29, F.concat(score, F.lit("00000000001")))
+        .when(k == 31, F.lit("-0.00000000001"))
+        .when(k == 37, F.concat(F.lit("1"), F.lit("0" * 30)))
+        .when(k == 41, F.concat(score, F.lit("e-2")))
+        .when(k == 43, F.concat(F.lit("+"), score, F.lit("E+0")))
+        .when(k == 47, F.lit("-0.00"))
+        .otherwise(score)
+    )
     known = _game_id("event_type", EVENT_GAMES)
     return _with_k(events).select(
         F.col("event_id").alias("id"),
         "user_id",
         F.when(k == 7, F.lit(99).cast("bigint")).otherwise(known).alias("game_id"),
-        F.when(k == 23, F.lit("abc")).otherwise(score).alias("score"),
+        score.alias("score"),
         F.col("ts").alias("submitted_at"),
         F.when(k >= 5, _metadata()).alias("metadata"),
     )

@@ -58,9 +58,22 @@ def formatted(report):
     return report.select(*[shaped(c) for c in report.columns])
 
 
-def write_report(report, path, fmt="json"):
-    """Write a section with formatted decimals."""
-    formatted(report).write.mode("overwrite").format(fmt).save(path)
+# The order a section is read in, where it has one.
+REPORT_ORDER = {
+    "game_performance": ("-total_plays", "game__id"),
+    "activity_trend": ("period",),
+    "engagement_trend": ("period",),
+    "new_vs_returning": ("date",),
+    "score_progression": ("user_id", "submitted_at", "id"),
+}
+
+
+def write_report(report, path, fmt="json", order=()):
+    """Write a section with formatted decimals, sorted by ``order``: column names, - for falling."""
+    rows = formatted(report)
+    if order:
+        rows = rows.orderBy(*(F.desc(c[1:]) if c[0] == "-" else F.asc(c) for c in order))
+    rows.write.mode("overwrite").format(fmt).save(path)
 
 
 def publish(views, path=None, prefix="analytics_", drop_existing=False):

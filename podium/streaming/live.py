@@ -74,10 +74,21 @@ def live_standings(spark, path, games):
     )
 
 
+def live_board(spark, path, games, kind="best"):
+    """The live standings of one kind, as the operators on standings take them."""
+    board = live_standings(spark, path, games).withColumnRenamed(f"{kind}_score", "score")
+    return board.select("game_id", "user_id", "score")
+
+
+def live_totals(spark, path):
+    """The last raw score of every user in any game: user_id, total_score."""
+    now = folded(read_deltas(spark, path))
+    return now.groupBy("user_id").agg(F.max_by("latest", "latest_key").alias("total_score"))
+
+
 def live_ranks(spark, path, games, kind="best", bound=None):
     """Ranked live boards of all games."""
-    board = live_standings(spark, path, games).withColumnRenamed(f"{kind}_score", "score")
-    return ranked_standings(board.select("game_id", "user_id", "score"), games, bound=bound)
+    return ranked_standings(live_board(spark, path, games, kind), games, bound=bound)
 
 
 def write_delta(path):
