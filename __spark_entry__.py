@@ -128,6 +128,31 @@ def _answers(t):
     return t.spark.read.parquet(out).drop("batch_id")
 
 
+def _pipeline(t, rejects):
+    """Submissions in four files, out of time order, one batch each, from arrival to answer."""
+    base = scratch(t.spark, "submissions")
+    given = fixtures.submissions_from_events(t.events)
+    for part in range(4):
+        given.filter(F.pmod("id", F.lit(4)) == part).coalesce(1).write.mode("append").parquet(
+            f"{base}/in"
+        )
+    stream = t.spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 1).parquet(
+        f"{base}/in"
+    )
+    _finish(
+        live.start_submissions(
+            stream, f"{base}/boards", f"{base}/answers", f"{base}/rejects", f"{base}/slots",
+            t.games, f"{base}/check", available_now=True, delay="60 days",
+        )
+    )
+    if rejects:
+        rows = t.spark.read.parquet(f"{base}/rejects")
+        return rows.groupBy("game_id", "reject_reason").agg(F.count(F.lit(1)).alias("n"))
+    return live.live_standings(t.spark, f"{base}/boards", t.games).select(
+        "game_id", "user_id", "best_score", "n"
+    )
+
+
 def _stored_stream(t, rows):
     path, check = scratch(t.spark, "out"), scratch(t.spark, "check")
     schema = rows.schema
@@ -394,6 +419,8 @@ def _query_table():
         # streams
         "stream_live_standings": _live_standings,
         "stream_answers": _answers,
+        "stream_pipeline": lambda t: _pipeline(t, False),
+        "stream_pipeline_rejects": lambda t: _pipeline(t, True),
         "stream_live_activity": lambda t: _stored_stream(
             t, activity.live_activity(t.score_stream())
         ),

@@ -7,6 +7,7 @@ users are joined, so a member without a user row leaves a gap and still counts i
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from podium.functions.ranks import value_ranks
 from podium.functions.sequences import numbered
 from podium.functions.sizes import per_game, touched_games
 from podium.functions.values import display_name, member, sort_key
@@ -337,6 +338,37 @@ def standing_ranks(board, games, wanted=None, bound=None):
     )
 
 
+def counted_ranks(board, games, wanted, bound=None):
+    """As :func:`standing_ranks`, for few members of large boards: no board is sorted.
+
+    Members are counted per score; only those who tie with a wanted member are put in order.
+    """
+    keyed = pinned(_keyed(board, games, False))
+    values = value_ranks(keyed, ["game_id"], "_key", "_first")
+    sizes = values.groupBy("game_id").agg(F.sum("n").alias("total_players"))
+    pairs = wanted.select("game_id", "user_id").distinct()
+    mine = keyed.join(pairs, ["game_id", "user_id"]).join(values, ["game_id", "_key"])
+    tied = mine.filter("n > 1").select("game_id", "_key").distinct()
+    level = keyed.select("game_id", "_key", "user_id", "_member").join(
+        tied, ["game_id", "_key"], "left_semi"
+    )
+    places = numbered(level, ["game_id", "_key"], ["_member"], "_place", bound).select(
+        "game_id", "user_id", "_place"
+    )
+    place = F.coalesce(F.col("_place"), F.lit(1))
+    return (
+        mine.join(places, ["game_id", "user_id"], "left")
+        .join(per_game(sizes, games), "game_id")
+        .select(
+            "game_id",
+            "user_id",
+            (F.col("_first") + place - 1).alias("user_rank"),
+            F.col("score").alias("user_score"),
+            "total_players",
+        )
+    )
+
+
 def neighbours_of(scores, games, wanted, reach=5, kind=BEST, bound=None):
     """Neighbours of many (game_id, user_id) rows at once, as one row per neighbour.
 

@@ -45,6 +45,15 @@ def scratch(spark, name):
     return f"{shared_dir(spark).rstrip('/')}/podium-{uuid.uuid4().hex}/{name}"
 
 
+def subfolders(spark, path):
+    """Names of the folders directly in ``path``, on any store that Spark reads; none if absent."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(place):
+        return []
+    return [f.getPath().getName() for f in store.listStatus(place) if f.isDirectory()]
+
+
 def pinned(rows):
     """Write ``rows`` to the shared folder once and go on from the files.
 

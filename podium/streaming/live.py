@@ -4,16 +4,28 @@ Each batch is grouped to one row per (game, user) and written to its own folder,
 batch id. Replaying a batch replaces its folder, so nothing counts twice. Rows may be late or out
 of order: the fold takes the best score, and the latest one by (time, id). No state is kept in
 the query, so there is no watermark to drop late scores and no state that grows.
+
+Batches are filed in eras of ``ERA``. The first batch of an era folds all before it into one
+summary there (batch id -1), so a reader opens one era: what has been played, once, and at most
+``ERA`` batches.
 """
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from podium.functions.sequences import Sequence
-from podium.functions.sizes import per_game, touched_games
+from podium.functions.sizes import touched_games
+from podium.functions.times import bucket, stored_time
 from podium.functions.values import best_of, event_key, is_highest
-from podium.operators.ranking import ranked_standings
+from podium.operators.ranking import counted_ranks, ranked_standings
+from podium.operators.submissions import RATE_LIMIT, judged, rejected, valid
 from podium.schemas import SCORE
+from podium.session import subfolders
+from podium.streaming.intake import distinct_ids
+
+ERA = 100  # batches that share a folder
+
+SLOTS = "user_id long, _slot timestamp_ntz, n long, day string, batch_id long"
 
 KEY = T.DecimalType(38, 0)
 
@@ -57,8 +69,21 @@ def folded(deltas):
     )
 
 
+def read_era(spark, path, era):
+    return spark.read.schema(DELTA).parquet(f"{path}/era={era}")
+
+
+def current_era(spark, path):
+    """The last era that can be read: one with only its summary may still be being written."""
+    eras = sorted(int(n[4:]) for n in subfolders(spark, path) if n.startswith("era="))
+    if len(eras) > 1 and set(subfolders(spark, f"{path}/era={eras[-1]}")) <= {"batch_id=-1"}:
+        return eras[-2]
+    return eras[-1] if eras else 0
+
+
 def read_deltas(spark, path):
-    return spark.read.schema(DELTA).parquet(path)
+    """Summaries that together hold all batches."""
+    return read_era(spark, path, current_era(spark, path))
 
 
 def live_standings(spark, path, games):
@@ -91,94 +116,172 @@ def live_ranks(spark, path, games, kind="best", bound=None):
     return ranked_standings(live_board(spark, path, games, kind), games, bound=bound)
 
 
-def write_delta(path):
+def write_delta(path, every=ERA):
     """The foreachBatch function that stores a batch's summary."""
 
     def store(batch, batch_id):
-        summary(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        era = batch_id // every
+        if era and batch_id % every == 0:
+            # Whole if it is there at all, and the same each time: the era before is complete.
+            past = folded(read_era(batch.sparkSession, path, era - 1))
+            past.write.mode("overwrite").parquet(f"{path}/era={era}/batch_id=-1")
+        summary(batch).write.mode("overwrite").parquet(f"{path}/era={era}/batch_id={batch_id}")
 
     return store
 
 
 def start_live_standings(scores, path, checkpoint, available_now=False):
     """Start the query that keeps the standings under ``path`` current."""
-    writer = scores.writeStream.foreachBatch(write_delta(path)).option(
-        "checkpointLocation", checkpoint
-    )
-    if available_now:
-        writer = writer.trigger(availableNow=True)
-    return writer.start()
+    return _started(scores, write_delta(path), checkpoint, available_now)
 
 
 def answered(batch, before, now, games, bound=None):
     """What the submitters of a batch are told: rank, board size and personal-best flag.
 
-    ``before`` and ``now`` are folded summaries without and with the batch. A score is a personal
-    best when it beats all earlier batches and all earlier rows of its own batch.
+    ``before`` and ``now`` are summaries without and with the batch; only the batch's players are
+    taken from ``before`` and its games from ``now``. A score is a personal best when it beats all
+    earlier batches and all earlier rows of its own batch.
     """
     kinds = games.select("game_id", "score_type")
+    pairs = batch.select("game_id", "user_id").distinct()
     worth = F.when(is_highest(), F.col("score")).otherwise(-F.col("score")).alias("_worth")
     rows = batch.join(kinds, "game_id").select(
         "id", "user_id", "game_id", "score", "submitted_at", worth
     )
     seq = Sequence(rows, ["user_id", "game_id"], ["submitted_at", "id"], bound)
     rows = seq.running("_within", F.max, F.greatest, "_worth").done()
-    old = before.join(kinds, "game_id").select(
+    known = folded(before.join(pairs, ["game_id", "user_id"], "left_semi"))
+    old = known.join(kinds, "game_id").select(
         "game_id",
         "user_id",
         F.when(is_highest(), F.col("top")).otherwise(-F.col("low")).alias("_old"),
     )
     touched = touched_games(batch, games)
-    board = now.join(touched, "game_id", "left_semi").join(kinds, "game_id").select(
-        "game_id", "user_id", best_of(F.col("top"), F.col("low")).alias("score")
+    board = folded(now.join(touched, "game_id", "left_semi")).join(kinds, "game_id").select(
+        "game_id", "user_id", best_of(F.col("top"), F.col("low")).alias("score"), "score_type"
     )
-    ranked = ranked_standings(board, games, bound=bound).select("game_id", "user_id", "rank")
-    sizes = board.groupBy("game_id").agg(F.count(F.lit(1)).alias("total_players"))
+    ranks = counted_ranks(board, games, pairs, bound)
     best_before = F.greatest("_within", "_old")
     return (
         rows.join(old, ["game_id", "user_id"], "left")
-        .join(ranked, ["game_id", "user_id"])
-        .join(per_game(sizes, games), "game_id")
+        .join(ranks, ["game_id", "user_id"])
         .select(
             "id",
             "user_id",
             "game_id",
             "score",
-            "rank",
+            F.col("user_rank").alias("rank"),
             "total_players",
             (best_before.isNull() | (F.col("_worth") > best_before)).alias("is_personal_best"),
         )
     )
 
 
-def answer_batch(path, results, games, bound=None):
+def answer_batch(path, results, games, bound=None, every=ERA):
     """The foreachBatch function that stores a batch's summary and then its answers.
 
-    Only earlier batches count as before, so a replayed batch gives the same answers.
+    Only earlier batches count as before, so a replayed batch gives the same answers. The batch is
+    held meanwhile: its source is read once.
     """
-    store_delta = write_delta(path)
+    store_delta = write_delta(path, every)
 
     def store(batch, batch_id):
-        store_delta(batch, batch_id)
-        deltas = read_deltas(batch.sparkSession, path)
-        before = folded(deltas.filter(F.col("batch_id") < batch_id))
-        now = folded(deltas.filter(F.col("batch_id") <= batch_id))
-        answers = answered(batch, before, now, games, bound)
-        answers.write.mode("overwrite").parquet(f"{results}/batch_id={batch_id}")
+        batch = batch.persist()
+        try:
+            store_delta(batch, batch_id)
+            deltas = read_era(batch.sparkSession, path, batch_id // every)
+            before = deltas.filter(F.col("batch_id") < batch_id)
+            now = deltas.filter(F.col("batch_id") <= batch_id)
+            answers = answered(batch, before, now, games, bound)
+            answers.write.mode("overwrite").parquet(f"{results}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     return store
 
 
-def start_answers(scores, path, results, games, checkpoint, available_now=False, bound=None):
-    """Start the query that keeps the standings current and answers every submission."""
-    writer = scores.writeStream.foreachBatch(answer_batch(path, results, games, bound)).option(
-        "checkpointLocation", checkpoint
-    )
+def _started(stream, store, checkpoint, available_now):
+    writer = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
 
 
+def start_answers(scores, path, results, games, checkpoint, available_now=False, bound=None):
+    """Start the query that keeps the standings current and answers every submission."""
+    return _started(scores, answer_batch(path, results, games, bound), checkpoint, available_now)
+
+
+# --- submissions, from arrival to answer ---------------------------------------------------
+
+
+def over_limit(batch, batch_id, slots, limit=RATE_LIMIT):
+    """``batch`` with ``_over``: is it beyond the first ``limit`` of its user and minute?
+
+    The counts of each batch are filed by day under ``slots``; only the days of this batch and
+    earlier batches are looked up, so a replayed batch gets the same answer.
+    """
+    spark = batch.sparkSession
+    slot = bucket("minute", "submitted_at")
+    rows = batch.withColumn("_slot", slot).withColumn("_day", F.to_date(slot))
+    counts = rows.groupBy("user_id", "_slot", "_day").agg(F.count(F.lit(1)).alias("n"))
+    days = [str(r["_day"]) for r in rows.select("_day").distinct().collect()]
+    filed = counts.withColumn("batch_id", F.lit(batch_id)).withColumn(
+        "day", F.col("_day").cast("string")
+    )
+    filed.drop("_day").write.partitionBy("day", "batch_id").option(
+        "partitionOverwriteMode", "dynamic"
+    ).mode("overwrite").parquet(slots)
+    seen = spark.read.schema(SLOTS).option("basePath", slots).parquet(
+        *(f"{slots}/day={day}" for day in days)
+    )
+    seen = seen.filter(F.col("batch_id") < batch_id).groupBy("user_id", "_slot").agg(
+        F.sum("n").alias("_seen")
+    )
+    seq = Sequence(rows, ["user_id", "_slot"], ["submitted_at", "id"]).number("_place")
+    placed = seq.done().join(seen, ["user_id", "_slot"], "left")
+    over = F.col("_place") + F.coalesce("_seen", F.lit(0)) > limit
+    return placed.withColumn("_over", over).select(*batch.columns, "_over")
+
+
+def submission_batch(path, results, rejects, slots, games, limit=RATE_LIMIT, bound=None, every=ERA):
+    """The foreachBatch function that takes submissions all the way to their answers.
+
+    Rows beyond the rate limit are rejected first, then those that break a rule; the rest are
+    stored and answered. Every row ends in ``results`` or, with a reason, in ``rejects``.
+    """
+    answer = answer_batch(path, results, games, bound, every)
+
+    def store(batch, batch_id):
+        batch = batch.withColumn("submitted_at", stored_time("submitted_at")).persist()
+        try:
+            if batch.isEmpty():
+                return
+            marked = over_limit(batch, batch_id, slots, limit).persist()
+            slow = marked.filter(~F.col("_over")).drop("_over")
+            fast = judged(marked.filter("_over").drop("_over"), games)
+            fast = fast.withColumn("reject_reason", F.lit("rate_limited"))
+            checked = judged(slow, games).persist()
+            refused = rejected(fast).unionByName(rejected(checked))
+            refused.write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
+            answer(valid(checked), batch_id)
+            checked.unpersist()
+            marked.unpersist()
+        finally:
+            batch.unpersist()
+
+    return store
+
+
+def start_submissions(
+    submissions, path, results, rejects, slots, games, checkpoint, available_now=False,
+    limit=RATE_LIMIT, delay="1 hour", bound=None,
+):
+    """Start the query from raw submissions to answers: dedup, rate limit, rules, boards, answer."""
+    store = submission_batch(path, results, rejects, slots, games, limit, bound)
+    return _started(distinct_ids(submissions, delay), store, checkpoint, available_now)
+
+
 def compact(spark, path, target):
     """Fold all batches into one, in a new folder.
 
@@ -186,4 +289,5 @@ def compact(spark, path, target):
     folded part carries batch id -1, which no stream batch has; the old folder stays untouched.
     """
     rows = folded(read_deltas(spark, path))
-    rows.write.mode("overwrite").parquet(f"{target}/batch_id=-1")
+    era = current_era(spark, path)
+    rows.write.mode("overwrite").parquet(f"{target}/era={era}/batch_id=-1")

@@ -137,3 +137,74 @@ def test_activity_sessions_and_rate(make, spark, tmp_path):
     batch = submissions.busy_slots(scores, 1)
     assert set(rows(busy, "user_id", "slot", "n")) <= set(rows(batch, "user_id", "slot", "n"))
     assert busy.count() > 0
+
+
+def test_eras_fold_what_went_before(make, spark, tmp_path):
+    games = make.games((1, "a", "highest"), (2, "b", "time"))
+    path, out = str(tmp_path / "out"), str(tmp_path / "answers")
+    store = live.answer_batch(path, out, games, every=2)
+    r, every = random.Random(1), []
+    for n in range(7):
+        batch = [
+            (10 * n + i, r.randrange(5), r.randrange(1, 3), r.randrange(9), f"2024-01-0{r.randrange(1, 9)} 00:00:00")
+            for i in range(10)
+        ]
+        every += batch
+        store(make.scores(*batch), n)
+        if n == 4:
+            store(make.scores(*batch), n)  # the first of an era, replayed
+    scores = make.scores(*every)
+    now = live.live_standings(spark, path, games)
+    assert rows(now, "game_id", "user_id", "best_score", "n") == rows(
+        standings.best_standings(scores, games), "game_id", "user_id", "score", "n"
+    )
+    assert live.current_era(spark, path) == 3
+    assert live.read_deltas(spark, path).select("batch_id").distinct().count() == 2
+    last = rows(spark.read.parquet(out).filter("batch_id = 6"), "id", "rank", "total_players")
+    want = submissions.submission_results(scores, games).filter("id >= 60")
+    assert last == rows(want, "id", "rank", "total_players")
+    (tmp_path / "out" / "era=4" / "batch_id=-1").mkdir(parents=True)  # being written
+    assert live.current_era(spark, path) == 3
+
+
+def test_submissions_are_answered_or_rejected(make, spark, tmp_path):
+    games = make.games((1, "a", "highest"), (2, "shut", "highest", False))
+    base = str(tmp_path)
+    store = live.submission_batch(
+        f"{base}/boards", f"{base}/answers", f"{base}/rejects", f"{base}/slots", games, limit=3
+    )
+    first = make.submissions((1, 5, 1, "10", None), (2, 5, 1, "9", None), (3, 6, 2, "1", None), (4, 6, 8, "1", None))
+    second = make.submissions((5, 5, 1, "x", None), (6, 5, 1, "99", None), (7, 7, 1, "10", "{}"))
+    store(first, 0)
+    for _ in range(2):
+        store(second, 1)
+    answers = rows(spark.read.parquet(f"{base}/answers"), "id", "rank", "total_players", "is_personal_best")
+    assert answers == [(1, 1, 1, True), (2, 1, 1, False), (7, 2, 2, True)]
+    refused = rows(spark.read.parquet(f"{base}/rejects"), "id", "reject_reason")
+    assert refused == [
+        (3, "game_inactive"), (4, "game_not_found"), (5, "score_not_a_number"), (6, "rate_limited")
+    ]
+
+
+def test_a_batch_is_read_once(make, spark, tmp_path):
+    games = make.games((1, "a", "highest"))
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        reads.add(1)
+        yield from batches
+
+    batch = make.scores((1, 1, 1, 5, "2024-01-01 00:00:00"), (2, 2, 1, 5, "2024-01-01 00:00:00"))
+    counted = batch.coalesce(1).mapInArrow(seen, batch.schema)
+    live.answer_batch(str(tmp_path / "out"), str(tmp_path / "answers"), games)(counted, 0)
+    assert reads.value == 1
+    got = rows(spark.read.parquet(str(tmp_path / "answers")), "id", "rank")
+    assert got == [(1, 1), (2, 2)]
+
+
+def test_late_rows_are_dropped_from_the_dedup(make, spark, tmp_path):
+    src = str(tmp_path / "in")
+    for n, when in enumerate(("2024-01-05", "2024-01-09", "2024-01-01")):
+        make.scores((n, 1, 1, 5, f"{when} 00:00:00")).coalesce(1).write.mode("append").parquet(src)
+    kept = run(spark, intake.distinct_ids(read_stream(spark, src), "1 day"), tmp_path, "late")
+    assert rows(kept, "id") == [(0,), (1,)]
