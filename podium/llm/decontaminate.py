@@ -318,46 +318,63 @@ def contamination(docs, items, window=WINDOW, item_bytes=ITEM_BYTES):
     )
 
 
-def _cut_rows(rows, names, max_share, shared=None, window=WINDOW):
-    """Rows with their spans cut out; rows of which more than ``max_share`` is hit are left out.
+def _cleaned(batch, fields, hits, max_share, again=None):
+    """A batch of the columns ``fields`` without the words of ``hits`` (words, spans) of each row.
 
-    With ``shared``, the automaton of all items, a text is cut until nothing is hit any more.
+    Rows of which more than ``max_share`` is hit are left out. With ``again`` (the hits of bytes) a
+    text is cut until nothing is hit any more.
     """
+    texts, keep = batch.column("text").to_pylist(), []
+    lengths = batch.column("n_chars").to_pylist() if "n_chars" in fields else None
+    for i, (number, hit) in enumerate(hits):
+        if hit and sum(end - start for start, end in hit) > max_share * number:
+            continue
+        keep.append(i)
+        while hit:
+            data = cut(utf8(texts[i]), hit)
+            texts[i] = data.decode()
+            if lengths:
+                lengths[i] = len(texts[i])
+            hit = again(data)[1] if again else None
+    changed = {"text": texts, "n_chars": lengths}
+    whole = pa.RecordBatch.from_arrays(
+        [
+            pa.array(changed[n], batch.schema.field(n).type)
+            if changed.get(n) is not None
+            else batch.column(n)
+            for n in fields
+        ],
+        fields,
+    )
+    return whole.take(pa.array(keep, pa.int64()))
+
+
+def _cut_marked(rows, names, max_share):
+    """Rows with the spans they are marked with cut out."""
     count, spans, _ = names
-    fields = [f.name for f in rows.schema.fields if f.name not in names]
+    kept = [f for f in rows.schema.fields if f.name not in names]
 
     def clean(batches):
-        automaton = _automaton(shared, window) if shared else None
         for batch in batches:
-            texts, keep = batch.column("text").to_pylist(), []
-            lengths = batch.column("n_chars").to_pylist() if "n_chars" in fields else None
-            numbers = batch.column(count).to_pylist()
             found = batch.column(spans).to_pylist()
-            for i, (number, hit) in enumerate(zip(numbers, found, strict=True)):
-                hit = [(s["start"], s["end"]) for s in hit]
-                if hit and sum(b - a for a, b in hit) > max_share * number:
-                    continue
-                keep.append(i)
-                while hit:
-                    data = cut(utf8(texts[i]), hit)
-                    texts[i] = data.decode()
-                    if lengths:
-                        lengths[i] = len(texts[i])
-                    hit = automaton.hits(data)[1] if automaton else None
-            changed = {"text": texts, "n_chars": lengths}
-            whole = pa.RecordBatch.from_arrays(
-                [
-                    pa.array(changed[n], batch.schema.field(n).type)
-                    if changed.get(n) is not None
-                    else batch.column(n)
-                    for n in fields
-                ],
-                fields,
-            )
-            yield whole.take(pa.array(keep, pa.int64()))
+            found = [[(s["start"], s["end"]) for s in hit] for hit in found]
+            hits = zip(batch.column(count).to_pylist(), found, strict=True)
+            yield _cleaned(batch, [f.name for f in kept], hits, max_share)
+
+    return mapped(rows, clean, T.StructType(kept))
+
+
+def _cut_found(rows, shared, window, max_share):
+    """Rows with all hits of one automaton cut out, in one pass."""
+    fields = rows.columns
+
+    def clean(batches):
+        find = _automaton(shared, window).hits
+        for batch in batches:
+            hits = (find(utf8(t.as_py()))[:2] for t in batch.column("text"))
+            yield _cleaned(batch, fields, hits, max_share, find)
 
-    schema = T.StructType([f for f in rows.schema.fields if f.name not in names])
-    return mapped(rows, clean, schema)
+    return mapped(rows, clean, rows.schema)
 
 
 def decontaminated(docs, items, window=WINDOW, max_share=0.5, item_bytes=ITEM_BYTES):
@@ -370,14 +387,13 @@ def decontaminated(docs, items, window=WINDOW, max_share=0.5, item_bytes=ITEM_BY
     names = tuple(free(docs.columns, "n_words", "spans", "items"))
     groups = list(_automata(items, window, item_bytes))
     if len(groups) == 1:
-        rows = _marked(docs, groups[0], window, names)
-        return _cut_rows(rows, names, max_share, groups[0], window)
+        return _cut_found(docs, groups[0], window, max_share)
     rows = docs
     while True:
         for shared in groups:
             rows = stored(_marked(rows, shared, window, names), "marked")
         hit = not rows.filter(F.size(names[1]) > 0).isEmpty()
-        rows = _cut_rows(rows, names, max_share)
+        rows = _cut_marked(rows, names, max_share)
         if not hit:
             return rows
         rows = stored(rows, "cut")

@@ -17,7 +17,8 @@ import numpy as np
 import tiktoken
 from tokenizers import Tokenizer
 
-WORDS_KEPT = 500_000
+WORDS_KEPT = 300_000
+AT_ONCE = 1 << 21  # characters cut into words at once
 SPACE = re.compile(r" (?=\S)(?<=\S )")
 # The byte-level split into words (a published pattern, fixed).
 PATTERN = (
@@ -97,7 +98,17 @@ class Encoder:
 
     def batch(self, texts):
         """The ids of each text as little-endian uint32 arrays."""
-        cut = [self._parts("" if t is None else t) for t in texts]
+        out, some, size = [], [], 0
+        for text in texts:
+            some.append("" if text is None else text)
+            size += len(some[-1])
+            if size >= AT_ONCE:
+                out += self._some(some)
+                some, size = [], 0
+        return out + self._some(some)
+
+    def _some(self, texts):
+        cut = [self._parts(t) for t in texts]
         words = self.words
         known = self._encode([" " + w for w in set().union(*(new for _, new in cut))])
         fresh = {w[1:]: ids for w, ids in known.items()}
