@@ -4,25 +4,13 @@ from pyspark.sql import functions as F
 
 from podium import schemas
 
-# Name, description, score type.
+# Name and score type. The descriptions are free.
 DEMO_GAMES = (
-    ("Demo Racing Game", "A fast-paced racing game where lower times are better", "time"),
-    (
-        "Demo Shooting Game",
-        "An action-packed shooting game where higher scores are better",
-        "highest",
-    ),
-    (
-        "Demo Puzzle Game",
-        "A challenging puzzle game where lower move counts are better",
-        "lowest",
-    ),
-    ("Demo Platform Game", "A classic platformer where higher scores are better", "highest"),
-    (
-        "Demo Strategy Game",
-        "A strategic game where higher scores represent better performance",
-        "highest",
-    ),
+    ("Demo Racing Game", "Laps against the clock; the shortest time wins", "time"),
+    ("Demo Shooting Game", "Targets on a range; every hit adds points", "highest"),
+    ("Demo Puzzle Game", "Tiles to be sorted in as few moves as possible", "lowest"),
+    ("Demo Platform Game", "Jumps and coins; whoever collects most leads", "highest"),
+    ("Demo Strategy Game", "Cities to be built; the richest one wins", "highest"),
 )
 
 START = "2024-01-01 00:00:00"

@@ -91,7 +91,8 @@ def test_history_pages(played):
     assert [r.id for r in first] == [3, 2] and first[0].has_next and first[0].page_size == 2
     last = subs.history_page(scores, games, 5, 1, page=2, page_size=2).collect()
     assert [r.id for r in last] == [1] and not last[0].has_next
-    assert subs.history_page(scores, games, 5, 1, page=3, page_size=2).count() == 0
+    (empty,) = subs.history_page(scores, games, 5, 1, page=3, page_size=2).collect()
+    assert (empty.id, empty.page, empty.page_size, empty.has_next) == (None, 3, 2, False)
 
 
 def test_submission_results(played, spark):
