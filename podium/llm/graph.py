@@ -14,12 +14,14 @@ def components(edges, max_rounds=60):
     reduced by a minimum with partial sums and joined back, never gathered in one task.
     """
     edges = stored(_oriented(edges.select("a", "b")), "edges")
+    before = _digest(edges)
     for _ in range(max_rounds):
-        rounds = stored(_small_star(_large_star(edges)), "edges")
-        # Nothing moves any more when both rounds give the edges they were given.
-        if _digest(rounds) == _digest(edges):
-            return _labels(rounds)
-        edges = rounds
+        edges = stored(_small_star(_large_star(edges)), "edges")
+        after = _digest(edges)
+        # Nothing moves any more when both stars give the edges they were given.
+        if after == before:
+            return _labels(edges)
+        before = after
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 

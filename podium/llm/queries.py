@@ -87,6 +87,37 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
+_WORDS = """regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
+OP4_SQL = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents
+), items AS (
+    SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {_WORDS} AS w FROM benchmark
+), item_windows AS (
+    SELECT DISTINCT item, n, list_aggregate(w[i : i + n - 1], 'string_agg', ' ') AS words
+    FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i
+          FROM (SELECT *, least(10, len(w)) AS n FROM items WHERE len(w) > 0))
+), doc_windows AS (
+    SELECT r, i, n, list_aggregate(w[i : i + n - 1], 'string_agg', ' ') AS words
+    FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i
+          FROM docs JOIN (SELECT DISTINCT n FROM item_windows) ON n <= len(w))
+), found AS (
+    SELECT r, i, n, item FROM doc_windows JOIN item_windows USING (n, words)
+), hits AS (
+    SELECT r, count(DISTINCT place) AS n_hit
+    FROM (SELECT r, unnest(range(i, i + n)) AS place FROM found) GROUP BY r
+), owners AS (
+    SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids
+    FROM found GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN owners USING (r)
+"""
+
 _TEMPLATES = ",\n    ".join(
     "({}, '{}', '{}', '{}')".format(-number, *(x.replace("'", "''") for x in template))
     for number, template in enumerate(licenses.TEMPLATES)
@@ -134,4 +165,4 @@ FROM docs LEFT JOIN by_doc USING (r) LEFT JOIN templates ON templates.ord = by_d
 
 
 def oracle_sql():
-    return {"op1_warc": OP1_SQL, "op8_licenses": OP8_SQL}
+    return {"op1_warc": OP1_SQL, "op4_decontamination": OP4_SQL, "op8_licenses": OP8_SQL}

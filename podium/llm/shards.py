@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from podium.llm.common import free
+
 ROWS_PER_PIECE = 200_000
 
 
@@ -84,13 +86,13 @@ def write_shards(docs, path, weights, files_per_shard=4):
     """Write whole records to ``path``/shard=N, every column kept.
 
     A shard is spread over ``files_per_shard`` tasks by key, so a heavy one is not one task's work.
+    Where a column is named ``shard`` already, the folders are named ``_shard``.
     """
-    if {"shard", "_spread"} & set(docs.columns):
-        raise ValueError("docs must not have columns named shard or _spread")
+    name, part = free(docs.columns, "shard", "part")
     key = record_key(F.col("doc_id"), F.col("text"))
     spread = F.pmod(F.xxhash64(key, F.lit("file")), F.lit(files_per_shard))
-    rows = docs.withColumn("shard", shard_of(key, weights)).withColumn("_spread", spread)
-    rows = rows.repartition(len(weights) * files_per_shard, "shard", "_spread").drop("_spread")
-    rows.write.partitionBy("shard").mode("overwrite").option(
+    rows = docs.withColumns({name: shard_of(key, weights), part: spread})
+    rows = rows.repartition(len(weights) * files_per_shard, name, part).drop(part)
+    rows.write.partitionBy(name).mode("overwrite").option(
         "partitionOverwriteMode", "static"
     ).parquet(path)

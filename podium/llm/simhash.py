@@ -246,7 +246,9 @@ def one_of_each(docs, shingle=SHINGLE, bits=BITS, key_bound=KEY_BOUND):
     if again.isEmpty():
         return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     # A doc_id alone does not name a row here, so these rows go by their own fingerprint.
-    mark, component, smallest = free(docs.columns, "bits", "component", "component_id")
+    mark, component, smallest, key = free(
+        docs.columns, "bits", "component", "component_id", "again"
+    )
     finger = F.pandas_udf(
         lambda texts: texts.map(lambda t: np.uint64(fingerprint(t, shingle)).astype(np.int64)),
         "long",
@@ -256,8 +258,8 @@ def one_of_each(docs, shingle=SHINGLE, bits=BITS, key_bound=KEY_BOUND):
         F.col("component").alias(component),
         F.col("component_id").alias(smallest),
     )
-    same = F.col("_again").eqNullSafe(docs["doc_id"])
-    keys = again.select(F.col("doc_id").alias("_again"))
+    keys = again.select(F.col("doc_id").alias(key))
+    same = F.col(key).eqNullSafe(docs["doc_id"])
     repeated = (
         docs.join(keys, same, "left_semi")
         .withColumn(mark, finger("text"))

@@ -88,7 +88,7 @@ def test_empty_tables(spark, tmp_path, empty):
     assert (got.count() == 0) == (empty == "documents")
 
 
-@pytest.mark.parametrize("name", ["op1_warc", "op8_licenses"])
+@pytest.mark.parametrize("name", ["op1_warc", "op4_decontamination", "op8_licenses"])
 def test_query_against_sql(spark, name):
     verdict, _ = compare(
         spark, duck(SF_DIR), SF_DIR, name, entry.queries()[name], entry.oracle_sql()[name]

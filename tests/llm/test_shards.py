@@ -78,3 +78,6 @@ def test_written_shards_hold_all_rows(docs, tmp_path, spark):
     assert sorted(r.text for r in back.collect()) == sorted(f"text {i}" for i in range(50))
     want = {r.doc_id: r.shard for r in shards.assign(rows, [1.0] * 4).collect()}
     assert {r.doc_id: r.shard for r in back.collect()} == want
+    clash = rows.withColumnRenamed("lang", "shard").withColumnRenamed("source", "part")
+    shards.write_shards(clash, str(tmp_path / "c"), [1.0] * 4)
+    assert {r.doc_id: r['_shard'] for r in spark.read.parquet(str(tmp_path / "c")).select("doc_id", "_shard").collect()} == want

@@ -96,7 +96,7 @@ def test_one_of_each_keeps_whole_rows(docs):
         (5, text), (2, text), (2, text), (9, "quite another text of more than three words here"),
         (None, text), (None, None), (None, ""), (2, "a different text under a repeated id, for once"),
         (8, "The Same words in the same order, over and over again, in every copy"),
-    ).withColumn("bits", F.lit("clash")).withColumn("component_id", F.lit(1))
+    ).withColumns({n: F.lit("clash") for n in ("bits", "component_id", "again")})
     kept = simhash.one_of_each(rows)
     assert kept.columns == rows.columns
     got = sorted(map(str, ((r.doc_id, r.text) for r in kept.collect())))
