@@ -129,11 +129,11 @@ def _answers(t):
 
 
 def _pipeline(t, rejects):
-    """Submissions in four files, out of time order, one batch each, from arrival to answer."""
+    """Submissions in three files, out of time order, one batch each, from arrival to answer."""
     base = scratch(t.spark, "submissions")
     given = fixtures.submissions_from_events(t.events)
-    for part in range(4):
-        given.filter(F.pmod("id", F.lit(4)) == part).coalesce(1).write.mode("append").parquet(
+    for part in range(3):
+        given.filter(F.pmod("id", F.lit(3)) == part).coalesce(1).write.mode("append").parquet(
             f"{base}/in"
         )
     stream = t.spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 1).parquet(
