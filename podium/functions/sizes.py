@@ -2,21 +2,21 @@
 
 from pyspark.sql import functions as F
 
-ROW_BOUND = 500_000
+ROW_BOUND = 500_000  # rows of a few dozen bytes each
 
 
-def per_game(rows, games, each=1):
+def per_game(rows, games, each=1, bound=ROW_BOUND):
     """``rows``, which hold at most ``each`` rows per game, broadcast when the games are few.
 
     The games are counted (for Parquet from the file footers). Beyond the bound the join is left
     to Spark.
     """
-    return F.broadcast(rows) if games.count() * each <= ROW_BOUND else rows
+    return F.broadcast(rows) if games.count() * each <= bound else rows
 
 
-def counted_broadcast(rows):
+def counted_broadcast(rows, bound=ROW_BOUND):
     """``rows`` broadcast when few. They are counted, so they should be cheap to read again."""
-    return F.broadcast(rows) if rows.count() <= ROW_BOUND else rows
+    return F.broadcast(rows) if rows.count() <= bound else rows
 
 
 def touched_games(rows, games):
