@@ -17,6 +17,8 @@ WHOLE_DIGITS = 10
 DECIMALS = 2
 RATE_LIMIT = 30
 
+# Texts that are valid at sight: ten digits at most, two decimals, and zeros at either end.
+PLAIN = r"^0*\d{1,10}(?:\.\d{0,2}0*)?$"
 # Sign, whole digits and decimals (or decimals alone), sign and digits of an exponent.
 NUMBER = r"^([+-]?)(?:(\d+)(?:\.(\d*))?|\.(\d+))(?:[eE]([+-]?)(\d+))?$"
 
@@ -55,12 +57,14 @@ def judged(submissions, games):
     reason = (
         F.when(F.col("_active").isNull(), "game_not_found")
         .when(~F.col("_active"), "game_inactive")
+        # Nearly all texts end here; only others have their digits taken apart.
+        .when(text.rlike(PLAIN), F.lit(None))
         .when(~F.coalesce(text.rlike(NUMBER), F.lit(False)), "score_not_a_number")
         .when((sign == "-") & (digits != ""), "score_negative")
         .when((digits != "") & (decimals > DECIMALS), "too_many_decimals")
         .when((digits != "") & (F.length(digits) - decimals > WHOLE_DIGITS), "too_many_digits")
     )
-    number = F.when(digits == "", F.lit("0")).otherwise(text)
+    number = F.when(text.rlike(PLAIN), text).when(digits == "", F.lit("0")).otherwise(text)
     return joined.select(
         "id",
         "user_id",
