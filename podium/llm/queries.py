@@ -19,7 +19,7 @@ def _op2(spark, sf_dir):
 
 
 def _op3(spark, sf_dir):
-    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+    return imatch.fingerprints(table(spark, sf_dir, "documents"), by_text=True)
 
 
 def _op4(spark, sf_dir):
