@@ -5,9 +5,9 @@ batch id. Replaying a batch replaces its folder, so nothing counts twice. Rows m
 of order: the fold takes the best score, and the latest one by (time, id). No state is kept in
 the query, so there is no watermark to drop late scores and no state that grows.
 
-Batches are filed in eras of ``ERA``. The first batch of an era folds all before it into one
-summary there (batch id -1), so a reader opens one era: what has been played, once, and at most
-``ERA`` batches.
+Batches are filed in eras of ``ERA``. The first batch with rows of an era folds all before it into
+one summary there (batch id -1), so a reader opens one era: what has been played, once, and at most
+``ERA`` batches. Batches without rows may leave no folder, and whole eras may be left out.
 """
 
 from pyspark.sql import functions as F
@@ -73,9 +73,28 @@ def read_era(spark, path, era):
     return spark.read.schema(DELTA).parquet(f"{path}/era={era}")
 
 
+def _eras(spark, path):
+    return sorted(int(n[4:]) for n in subfolders(spark, path) if n.startswith("era="))
+
+
+def _fold_past(spark, path, era, batch_id):
+    """Write the summary of all before ``era`` there, if it is missing or may be half written.
+
+    The eras before are complete, so the first batch of an era, played again, writes the same.
+    """
+    earlier = [e for e in _eras(spark, path) if e < era]
+    if not earlier:
+        return
+    folders = subfolders(spark, f"{path}/era={era}") if era in _eras(spark, path) else []
+    batches = [int(n[9:]) for n in folders if n.startswith("batch_id=")]
+    if -1 not in batches or not any(0 <= b < batch_id for b in batches):
+        past = folded(read_era(spark, path, earlier[-1]))
+        past.write.mode("overwrite").parquet(f"{path}/era={era}/batch_id=-1")
+
+
 def current_era(spark, path):
     """The last era that can be read: one with only its summary may still be being written."""
-    eras = sorted(int(n[4:]) for n in subfolders(spark, path) if n.startswith("era="))
+    eras = _eras(spark, path)
     if len(eras) > 1 and set(subfolders(spark, f"{path}/era={eras[-1]}")) <= {"batch_id=-1"}:
         return eras[-2]
     return eras[-1] if eras else 0
@@ -121,10 +140,7 @@ def write_delta(path, every=ERA):
 
     def store(batch, batch_id):
         era = batch_id // every
-        if era and batch_id % every == 0:
-            # Whole if it is there at all, and the same each time: the era before is complete.
-            past = folded(read_era(batch.sparkSession, path, era - 1))
-            past.write.mode("overwrite").parquet(f"{path}/era={era}/batch_id=-1")
+        _fold_past(batch.sparkSession, path, era, batch_id)
         summary(batch).write.mode("overwrite").parquet(f"{path}/era={era}/batch_id={batch_id}")
 
     return store

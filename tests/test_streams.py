@@ -208,3 +208,25 @@ def test_late_rows_are_dropped_from_the_dedup(make, spark, tmp_path):
         make.scores((n, 1, 1, 5, f"{when} 00:00:00")).coalesce(1).write.mode("append").parquet(src)
     kept = run(spark, intake.distinct_ids(read_stream(spark, src), "1 day"), tmp_path, "late")
     assert rows(kept, "id") == [(0,), (1,)]
+
+
+def test_an_era_may_begin_with_empty_batches(make, spark, tmp_path):
+    games = make.games((1, "a", "highest"))
+    path, out, bad, slots = (str(tmp_path / n) for n in ("boards", "out", "bad", "slots"))
+    store = live.submission_batch(path, out, bad, slots, games, every=2)
+    given = [
+        make.submissions(*((10 * b + u, u, 1, str(score), "{}") for u, score in sent))
+        for b, sent in enumerate([
+            [(1, 5), (2, 7)], [(3, 9)], [], [(1, 6)], [], [], [(4, 1)], [(1, 6), (2, 8)],
+        ])
+    ]
+    for batch_id, batch in enumerate(given):
+        for _ in range(1 + (batch_id in (3, 6))):  # played again: the same
+            store(batch, batch_id)
+    got = rows(live.live_standings(spark, path, games), "user_id", "best_score", "n")
+    assert [(u, int(s), n) for u, s, n in got] == [(1, 6, 3), (2, 8, 2), (3, 9, 1), (4, 1, 1)]
+    told = rows(spark.read.parquet(out), "id", "rank", "total_players", "is_personal_best")
+    assert sorted(told) == [
+        (1, 2, 2, True), (2, 1, 2, True), (13, 1, 3, True), (31, 3, 3, True), (64, 4, 4, True),
+        (71, 3, 4, False), (72, 2, 4, True),
+    ]
