@@ -9,6 +9,49 @@ from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
 
+# The grant that all BSD licences share tells none of them; it gives way to a member's own words.
+MEMBERS = {"BSD": ("BSD-2-Clause", "BSD-3-Clause")}
+
+_GNU = (
+    "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the "
+    "GNU {2} General Public License as published by the Free Software Foundation{3} either version "
+    "{4} of the License, or (at your option) any later version."
+)
+_MIT_NOTICE = (
+    "The above copyright notice and this permission notice shall be included in all copies or "
+    "substantial portions of the Software."
+)
+_BSD_CONDITIONS = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions "
+    "and the following disclaimer. Redistributions in binary form must reproduce the above copyright "
+    "notice, this list of conditions and the following disclaimer in the documentation and/or other "
+    "materials provided with the distribution."
+)
+_BSD_NAMES = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to "
+    "endorse or promote products derived from this software without specific prior written "
+    "permission."
+)
+_BSD_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR '
+    "IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY "
+    "AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR "
+    "CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+    "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+    "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE "
+    "POSSIBILITY OF SUCH DAMAGE."
+)
+_ISC_DISCLAIMER = (
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS '
+    "SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL "
+    "THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY "
+    "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF "
+    "CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+    "PERFORMANCE OF THIS SOFTWARE."
+)
+
 # Names of licences and the words of their public notices and texts.
 TEMPLATES = (
     ("MIT", "notice", "Released under the MIT License."),
@@ -80,7 +123,7 @@ TEMPLATES = (
         "https://mozilla.org/MPL/2.0/.",
     ),
     (
-        "BSD-3-Clause",
+        "BSD",
         "grant",
         "Redistribution and use in source and binary forms, with or without modification, are "
         "permitted provided that the following conditions are met:",
@@ -111,6 +154,48 @@ TEMPLATES = (
         "work notice",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     ),
+    ("AGPL-3.0", "header", _GNU.format("program", ":", "Affero", ",", "3")),
+    ("LGPL-3.0", "header", _GNU.format("program", ":", "Lesser", ",", "3")),
+    ("LGPL-3.0", "library header", _GNU.format("library", ":", "Lesser", ",", "3")),
+    ("LGPL-2.1", "header", _GNU.format("library", ";", "Lesser", ";", "2.1")),
+    ("LGPL-2.0", "header", _GNU.format("library", ";", "Library", ";", "2")),
+    (
+        "GPL-2.0",
+        "notice",
+        "This work is licensed under the GNU General Public License, version 2.",
+    ),
+    (
+        "LGPL-2.1",
+        "notice",
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    ),
+    ("BSD-2-Clause", "notice", "Released under the BSD 2-Clause License."),
+)
+_BODY = {(name, title): body for name, title, body in TEMPLATES}
+TEMPLATES += (
+    ("MIT", "whole", f"{_BODY['MIT', 'grant']} {_MIT_NOTICE} {_BODY['MIT', 'disclaimer']}"),
+    ("BSD-2-Clause", "whole", f"{_BODY['BSD', 'grant']} {_BSD_CONDITIONS} {_BSD_DISCLAIMER}"),
+    (
+        "BSD-3-Clause",
+        "whole",
+        f"{_BODY['BSD', 'grant']} {_BSD_CONDITIONS} {_BSD_NAMES} {_BSD_DISCLAIMER}",
+    ),
+    ("BSD-3-Clause", "names", _BSD_NAMES),
+    ("ISC", "whole", f"{_BODY['ISC', 'grant']} {_ISC_DISCLAIMER}"),
+    *(
+        (
+            f"CC-{short}-4.0",
+            "work notice",
+            f"This work is licensed under a Creative Commons {words} 4.0 International License.",
+        )
+        for short, words in (
+            ("BY-SA", "Attribution-ShareAlike"),
+            ("BY-NC", "Attribution-NonCommercial"),
+            ("BY-ND", "Attribution-NoDerivatives"),
+            ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+            ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+        )
+    ),
 )
 
 
@@ -151,6 +236,15 @@ def _templates(spark, templates):
     )
 
 
+def _own(found):
+    """The licences found, without general names where one of their members is found too."""
+    for general, members in MEMBERS.items():
+        names = F.transform(found, lambda m: m["name"])
+        member = F.arrays_overlap(names, F.array(*map(F.lit, members)))
+        found = F.filter(found, lambda m: (m["name"] != F.lit(general)) | ~member)
+    return found
+
+
 def dice_scan(docs, templates=TEMPLATES, threshold=THRESHOLD):
     """The licences found in each row of ``docs`` (doc_id, text).
 
@@ -183,6 +277,7 @@ def dice_scan(docs, templates=TEMPLATES, threshold=THRESHOLD):
     rows = rows.select("doc_id", F.array_distinct("units").alias("units"))
     found = rows.select("doc_id", F.transform("units", best).alias("by_unit"))
     found = found.select("doc_id", F.filter("by_unit", lambda m: m.isNotNull()).alias("by_unit"))
+    found = found.select("doc_id", _own("by_unit").alias("by_unit"))
     every = found.select("doc_id", "by_unit", F.array_max("by_unit").alias("best"))
     names = F.array_sort(F.array_distinct(F.transform("by_unit", lambda m: m["name"])))
     return every.select(

@@ -71,3 +71,15 @@ def test_size_bounds_lose_nothing(docs, threshold):
     rows = [(n, " ".join(body[:n])) for n in range(1, len(body) + 1)] + [(-n, " ".join(body + ["x", "y"][:2] * n)) for n in range(1, 30)]
     got = {r.doc_id: r.dice for r in licenses.dice_scan(docs(*rows), threshold=threshold).collect()}
     assert got == {i: _brute(t, threshold)[2] for i, t in rows}
+
+
+def test_close_relatives_are_told_apart(docs):
+    body = {(n, t): b for n, t, b in licenses.TEMPLATES}
+    headers = [k for k in body if "header" in k[1] and "GPL" in k[0]]
+    clauses = [body["BSD", "grant"], licenses._BSD_CONDITIONS, licenses._BSD_NAMES, licenses._BSD_DISCLAIMER]
+    two, three = "\n\n".join(c for c in clauses if c != licenses._BSD_NAMES), "\n\n".join(clauses)
+    rows = [(i, body[k]) for i, k in enumerate(headers)] + [(100, two), (101, three), (102, body["BSD", "grant"])]
+    got = {r.doc_id: r for r in licenses.dice_scan(docs(*rows)).collect()}
+    assert [got[i].licenses for i in range(len(headers))] == [n for n, _ in headers] and len(headers) >= 7
+    assert [got[i].licenses for i in (100, 101, 102)] == ["BSD-2-Clause", "BSD-3-Clause", "BSD"]
+    assert [got[i].license for i in (100, 101, 102)] == ["BSD-2-Clause", "BSD-3-Clause", "BSD"]
