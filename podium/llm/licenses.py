@@ -1,13 +1,15 @@
-"""Licence scans: lines, paragraphs and whole texts against licence templates.
+"""Licence scans: lines, paragraphs, whole texts and runs of words against licence templates.
 
 A unit of text and a template are compared by the Dice coefficient of their sets of word bigrams.
 Since 2 * min(a, b) / (a + b) bounds it from above, only templates of a size near the unit's are
-candidates. All of it is one expression on the row of a document; nothing is shuffled.
+candidates. Licences that no unit has are sought in the runs of a template's number of words, wherever
+they lie in the text. All of it is one expression on the row of a document; nothing is shuffled.
 """
 
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+MARK = r"(?m)^[ \t]*(?:/\*+|\*+/|\*+|//+!?|#+|;+|--+|%+|<!--|dnl\b|REM\b)[ \t]*"
 
 # The grant that all BSD licences share tells none of them; it gives way to a member's own words.
 MEMBERS = {"BSD": ("BSD-2-Clause", "BSD-3-Clause")}
@@ -204,25 +206,37 @@ def normalised(text):
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def bigrams(words):
-    """The distinct pairs of neighbouring words of an array, as hashes."""
+def pairs_in_order(words):
+    """The pairs of neighbouring words of an array, as hashes."""
     starts = F.sequence(F.lit(1), F.size(words) - 1)
     pair = F.transform(starts, lambda i: F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1)))
-    return F.when(F.size(words) > 1, F.array_distinct(pair)).otherwise(F.array().cast("array<long>"))
+    return F.when(F.size(words) > 1, pair).otherwise(F.array().cast("array<long>"))
+
+
+def bigrams(words):
+    """The distinct pairs of neighbouring words of an array, as hashes."""
+    return F.array_distinct(pairs_in_order(words))
 
 
 def units(text):
-    """The lines, the paragraphs and the whole of a text, each different one once."""
-    whole = F.array(text)
-    return F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, "\n[ \t]*\n"), whole))
+    """The lines, the paragraphs and the whole of a text, each different one once.
+
+    Paragraphs are cut once more without comment marks, where lines of marks alone part them.
+    """
+    bare = F.split(F.regexp_replace(text, MARK, ""), "\n[ \t]*\n")
+    bare = F.when(text.rlike(MARK + "$"), bare).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, "\n[ \t]*\n"), bare, F.array(text)))
 
 
 def _templates(spark, templates):
-    """A constant array of struct(order, name, title, size, pairs)."""
+    """A constant array of struct(order, name, title, size, pairs, length), and all their pairs."""
     texts = F.array(*(F.lit(text) for _, _, text in templates))
-    pairs = F.transform(texts, lambda t: bigrams(F.split(normalised(t), " ")))
+    pairs = F.transform(texts, lambda t: pairs_in_order(F.split(normalised(t), " ")))
     found = spark.range(1).select(pairs.alias("pairs")).first()["pairs"]
-    return F.array(
+    lengths = [len(p) for p in found]
+    found = [list(dict.fromkeys(p)) for p in found]
+    every = F.array(*(F.lit(p).cast("long") for p in sorted({p for pairs in found for p in pairs})))
+    known = F.array(
         *(
             F.struct(
                 F.lit(-number).alias("order"),
@@ -230,10 +244,14 @@ def _templates(spark, templates):
                 F.lit(title).alias("title"),
                 F.lit(len(pairs)).alias("size"),
                 F.array(*(F.lit(p).cast("long") for p in pairs)).alias("pairs"),
+                F.lit(length).alias("length"),
+            )
+            for number, ((name, title, _), pairs, length) in enumerate(
+                zip(templates, found, lengths, strict=True)
             )
-            for number, ((name, title, _), pairs) in enumerate(zip(templates, found, strict=True))
         )
     )
+    return known, every
 
 
 def _own(found):
@@ -245,16 +263,95 @@ def _own(found):
     return found
 
 
+HIT_TYPE = "dice:double,order:int,name:string,title:string"
+LAST = f"struct<start:int,stop:int,common:int,{HIT_TYPE}>"
+STATE = f"struct<last:{LAST},found:array<struct<{HIT_TYPE}>>>"
+
+
+def _run_hits(pairs, shared, known, threshold):
+    """Runs of ``pairs``, those of a text in order, that agree with a template: an array of hits.
+
+    ``shared`` are the distinct ones among them that any template has.
+    A run has as many words as the template and begins with one of its pairs, or ends the text.
+    """
+    n = F.size(pairs)
+
+    def at(t, i):
+        run = F.array_distinct(F.slice(pairs, i, t["length"]))
+        common = F.size(F.array_intersect(run, t["pairs"]))
+        return F.struct(
+            i.alias("start"),
+            (i + t["length"]).alias("stop"),
+            common.alias("common"),
+            (F.lit(2.0) * common / (F.size(run) + t["size"])).alias("dice"),
+            t["order"].alias("order"),
+            t["name"].alias("name"),
+            t["title"].alias("title"),
+        )
+
+    def hits(t):
+        places = F.filter(F.sequence(F.lit(1), n), lambda i: F.array_contains(t["pairs"], F.element_at(pairs, i)))
+        places = F.array_distinct(F.transform(places, lambda i: F.least(i, n - t["length"] + 1)))
+        return F.filter(F.transform(places, lambda i: at(t, i)), lambda h: h["dice"] >= threshold)
+
+    # A run has at least the pairs it shares, so 2 * common / (common + size) bounds its Dice; it
+    # shares at most what the whole text shares.
+    def enough(common, t):
+        return (F.lit(2.0) * common >= threshold * (common + t["size"])) & (n >= t["length"])
+
+    near = F.filter(known, lambda t: enough(F.size(shared), t))
+    near = F.filter(near, lambda t: enough(F.size(F.array_intersect(shared, t["pairs"])), t))
+    return F.flatten(F.transform(near, hits))
+
+
+def _run_licences(hits):
+    """The best hit of each licence. Of two that overlap by half of the shorter, one counts.
+
+    That is the one with more pairs in common, then the higher Dice, then the earlier template.
+    """
+    def worth(h):
+        return F.struct(h["common"], h["dice"], h["order"])
+
+    def add(found, h):
+        brief = F.struct(h["dice"], h["order"], h["name"], h["title"]).cast(f"struct<{HIT_TYPE}>")
+        better = F.exists(found, lambda f: (f["name"] == h["name"]) & (f["dice"] >= h["dice"]))
+        others = F.filter(found, lambda f: f["name"] != h["name"])
+        return F.when(better, found).otherwise(F.concat(others, F.array(brief)))
+
+    def step(state, h):
+        last, found = state["last"], state["found"]
+        both = F.least(last["stop"], h["stop"]) - F.greatest(last["start"], h["start"])
+        clash = last.isNotNull() & (
+            2 * both >= F.least(last["stop"] - last["start"], h["stop"] - h["start"])
+        )
+        better = F.when(worth(h) > worth(last), h).otherwise(last)
+        return F.struct(
+            F.when(clash, better).otherwise(h).alias("last"),
+            F.when(clash | last.isNull(), found).otherwise(add(found, last)).alias("found"),
+        ).cast(STATE)
+
+    start = F.struct(
+        F.lit(None).cast(LAST).alias("last"), F.array().cast(f"array<struct<{HIT_TYPE}>>").alias("found")
+    ).cast(STATE)
+    return F.aggregate(
+        F.array_sort(hits),
+        start,
+        step,
+        lambda s: F.when(s["last"].isNull(), s["found"]).otherwise(add(s["found"], s["last"])),
+    )
+
+
 def dice_scan(docs, templates=TEMPLATES, threshold=THRESHOLD):
     """The licences found in each row of ``docs`` (doc_id, text).
 
     A unit has the licence of the template it agrees with best (the earlier among equals), if that
     is by at least ``threshold``. license, template and dice are those of the best unit, licenses
     the names of all units, sorted and joined by commas, n_units the number of such units that
-    differ in their bigrams. Without any, and for null and empty texts, they are null, null, null,
+    differ in their bigrams. A licence that no unit has counts with the best run that has it, as one
+    more unit. Without any, and for null and empty texts, they are null, null, null,
     empty and 0. Repeated rows are each answered; an empty table gives no rows.
     """
-    known = _templates(docs.sparkSession, templates)
+    known, every_pair = _templates(docs.sparkSession, templates)
     def best(pairs):
         def dice(common, t):
             return F.lit(2.0) * common / (F.size(pairs) + t["size"])
@@ -273,10 +370,18 @@ def dice_scan(docs, templates=TEMPLATES, threshold=THRESHOLD):
         return F.array_max(F.filter(compared, lambda c: c["dice"] >= threshold))
 
     words = F.transform(units(F.col("text")), lambda u: F.split(normalised(u), " "))
-    rows = docs.select("doc_id", F.transform(words, bigrams).alias("units"))
-    rows = rows.select("doc_id", F.array_distinct("units").alias("units"))
-    found = rows.select("doc_id", F.transform("units", best).alias("by_unit"))
-    found = found.select("doc_id", F.filter("by_unit", lambda m: m.isNotNull()).alias("by_unit"))
+    ordered = pairs_in_order(F.split(normalised(F.col("text")), " "))
+    rows = docs.select("doc_id", F.transform(words, bigrams).alias("units"), ordered.alias("pairs"))
+    shared = F.array_intersect("pairs", every_pair)
+    rows = rows.select("doc_id", F.array_distinct("units").alias("units"), "pairs", shared.alias("shared"))
+    hits = _run_hits(F.col("pairs"), F.col("shared"), known, threshold)
+    rows = rows.select("doc_id", "units", hits.alias("hits"))
+    found = rows.select("doc_id", F.transform("units", best).alias("by_unit"), _run_licences(F.col("hits")).alias("by_run"))
+    found = found.select("doc_id", F.filter("by_unit", lambda m: m.isNotNull()).alias("by_unit"), "by_run")
+    named = F.transform("by_unit", lambda m: m["name"])
+    more = F.filter("by_run", lambda m: ~F.array_contains(named, m["name"]))
+    more = F.when(F.size("by_run") > 0, more).otherwise(F.array().cast(f"array<struct<{HIT_TYPE}>>"))
+    found = found.select("doc_id", F.concat("by_unit", more).alias("by_unit"))
     found = found.select("doc_id", _own("by_unit").alias("by_unit"))
     every = found.select("doc_id", "by_unit", F.array_max("by_unit").alias("best"))
     names = F.array_sort(F.array_distinct(F.transform("by_unit", lambda m: m["name"])))

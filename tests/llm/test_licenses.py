@@ -83,3 +83,28 @@ def test_close_relatives_are_told_apart(docs):
     assert [got[i].licenses for i in range(len(headers))] == [n for n, _ in headers] and len(headers) >= 7
     assert [got[i].licenses for i in (100, 101, 102)] == ["BSD-2-Clause", "BSD-3-Clause", "BSD"]
     assert [got[i].license for i in (100, 101, 102)] == ["BSD-2-Clause", "BSD-3-Clause", "BSD"]
+
+
+def test_licences_that_are_no_unit_of_their_own(docs):
+    body = {(n, t): b for n, t, b in licenses.TEMPLATES}
+    mit = [body["MIT", "grant"], licenses._MIT_NOTICE, body["MIT", "disclaimer"]]
+    gpl, bsd = body["GPL-3.0", "header"], body["BSD", "grant"]
+    clauses = [bsd, licenses._BSD_CONDITIONS, licenses._BSD_DISCLAIMER]
+
+    def comment(*paragraphs):
+        return "/*\n" + "\n *\n".join(re.sub(r"(.{60}\S*) ", r"\1\n * ", f" * {p}") for p in paragraphs) + "\n */\nint main() {}"
+
+    prose = " ".join(f"word{i}" for i in range(300))
+    rows = [
+        (1, comment(*mit)), (2, " ".join([prose, *mit, prose])), (3, comment("A tool of ours.", gpl, prose)),
+        (4, f"{prose} {gpl} {prose}"), (5, comment("Copyright Jane Doe", bsd)), (6, comment("Copyright Jane Doe", *clauses)),
+        (7, "Copyright 2021 Jane Doe. Released under the MIT License. All rights reserved."),
+        (8, f"{prose} {gpl} {prose} {' '.join(mit)} {body['AGPL-3.0', 'header']}"), (9, f"{prose} released under no licence"),
+        (10, "# " + "\n# ".join(f"{prose} {' '.join(clauses)} {prose}".split(" "))), (11, f"{gpl}\n{prose} Released under the MIT License. {prose}"),
+    ]
+    got = {r.doc_id: r for r in licenses.dice_scan(docs(*rows)).collect()}
+    names = [got[i].licenses for i in range(1, 12)]
+    assert names == [
+        "MIT", "MIT", "GPL-3.0", "GPL-3.0", "BSD", "BSD-2-Clause", "MIT", "AGPL-3.0,GPL-3.0,MIT", "", "BSD-2-Clause", "GPL-3.0,MIT",
+    ]
+    assert got[7].dice == 1.0 and got[4].dice == 1.0 and got[9].n_units == 0
