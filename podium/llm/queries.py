@@ -3,7 +3,19 @@
 import public_tokenizers
 
 import corpus_pipeline
-from podium.llm import counts, decontaminate, frames, imatch, licenses, packing, quality, shards, simhash, warc
+from podium.llm import (
+    counts,
+    decontaminate,
+    density,
+    frames,
+    imatch,
+    licenses,
+    packing,
+    quality,
+    shards,
+    simhash,
+    warc,
+)
 from podium.llm.common import table
 
 SHARDS = 40
@@ -56,6 +68,10 @@ def _op10(spark, sf_dir):
     return shards.assign(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
+def _op11(spark, sf_dir):
+    return density.extracted(table(spark, sf_dir, "pages"))
+
+
 def queries():
     return {
         "op1_warc": _op1,
@@ -68,6 +84,7 @@ def queries():
         "op8_licenses": _op8,
         "op9_token_files": _op9,
         "op10_sharding": _op10,
+        "op11_main_text": _op11,
         "pipeline": corpus_pipeline.run,
     }
 
