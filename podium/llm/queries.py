@@ -12,6 +12,7 @@ from podium.llm import (
     licenses,
     packing,
     quality,
+    runs,
     shards,
     simhash,
     warc,
@@ -72,6 +73,10 @@ def _op11(spark, sf_dir):
     return density.extracted(table(spark, sf_dir, "pages"))
 
 
+def _op13(spark, sf_dir):
+    return runs.periodic_runs(table(spark, sf_dir, "documents"), runs.planted)
+
+
 def queries():
     return {
         "op1_warc": _op1,
@@ -85,6 +90,7 @@ def queries():
         "op9_token_files": _op9,
         "op10_sharding": _op10,
         "op11_main_text": _op11,
+        "op13_periodic_runs": _op13,
         "pipeline": corpus_pipeline.run,
     }
 
