@@ -16,6 +16,7 @@ from podium.llm import (
     shards,
     simhash,
     warc,
+    whitening,
 )
 from podium.llm.common import table
 
@@ -73,6 +74,10 @@ def _op11(spark, sf_dir):
     return density.extracted(table(spark, sf_dir, "pages"))
 
 
+def _op12(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def _op13(spark, sf_dir):
     return runs.periodic_runs(table(spark, sf_dir, "documents"), runs.planted)
 
@@ -90,6 +95,7 @@ def queries():
         "op9_token_files": _op9,
         "op10_sharding": _op10,
         "op11_main_text": _op11,
+        "op12_whitening": _op12,
         "op13_periodic_runs": _op13,
         "pipeline": corpus_pipeline.run,
     }
