@@ -6,10 +6,12 @@ candidates. Licences that no unit has are sought in the runs of a template's num
 they lie in the text. All of it is one expression on the row of a document; nothing is shuffled.
 """
 
+import json
+
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
-MARK = r"(?m)^[ \t]*(?:/\*+|\*+/|\*+|//+!?|#+|;+|--+|%+|<!--|dnl\b|REM\b)[ \t]*"
+MARK = r"^[ \t]*(?:/\*+|\*+/|\*+|//+!?|#+|;+|--+|%+|<!--|dnl\b|REM\b)[ \t]*"
 
 # The grant that all BSD licences share tells none of them; it gives way to a member's own words.
 MEMBERS = {"BSD": ("BSD-2-Clause", "BSD-3-Clause")}
@@ -223,35 +225,38 @@ def units(text):
 
     Paragraphs are cut once more without comment marks, where lines of marks alone part them.
     """
-    bare = F.split(F.regexp_replace(text, MARK, ""), "\n[ \t]*\n")
-    bare = F.when(text.rlike(MARK + "$"), bare).otherwise(F.array().cast("array<string>"))
+    mark = "(?dm)" + MARK  # lines end with a line feed alone
+    bare = F.split(F.regexp_replace(text, mark, ""), "\n[ \t]*\n")
+    bare = F.when(text.rlike(mark + "$"), bare).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, "\n[ \t]*\n"), bare, F.array(text)))
 
 
+KNOWN_TYPE = (
+    "array<struct<order:int,name:string,title:string,size:int,length:int,first:bigint,pairs:array<bigint>>>"
+)
+
+
 def _templates(spark, templates):
-    """A constant array of struct(order, name, title, size, pairs, length), and all their pairs."""
+    """A constant array of struct(order, name, title, size, length, first, pairs), and all their pairs.
+
+    Templates of one word or none agree with nothing and are left out.
+    """
     texts = F.array(*(F.lit(text) for _, _, text in templates))
-    pairs = F.transform(texts, lambda t: pairs_in_order(F.split(normalised(t), " ")))
-    found = spark.range(1).select(pairs.alias("pairs")).first()["pairs"]
-    lengths = [len(p) for p in found]
-    found = [list(dict.fromkeys(p)) for p in found]
-    every = F.array(*(F.lit(p).cast("long") for p in sorted({p for pairs in found for p in pairs})))
-    known = F.array(
-        *(
-            F.struct(
-                F.lit(-number).alias("order"),
-                F.lit(name).alias("name"),
-                F.lit(title).alias("title"),
-                F.lit(len(pairs)).alias("size"),
-                F.array(*(F.lit(p).cast("long") for p in pairs)).alias("pairs"),
-                F.lit(length).alias("length"),
+    words = F.transform(texts, lambda t: F.split(normalised(t), " "))
+    found = spark.range(1).select(F.transform(words, pairs_in_order).alias("pairs")).first()["pairs"]
+    known = []
+    for number, ((name, title, _), ordered) in enumerate(zip(templates, found, strict=True)):
+        pairs = list(dict.fromkeys(ordered))
+        if pairs:
+            known.append(
+                {
+                    "order": -number, "name": name, "title": title, "size": len(pairs),
+                    "length": len(ordered), "first": pairs[0], "pairs": pairs,
+                }
             )
-            for number, ((name, title, _), pairs, length) in enumerate(
-                zip(templates, found, lengths, strict=True)
-            )
-        )
-    )
-    return known, every
+    every = sorted({p for t in known for p in t["pairs"]})
+    # One text each, read once when the plan is made.
+    return F.from_json(F.lit(json.dumps(known)), KNOWN_TYPE), F.from_json(F.lit(json.dumps(every)), "array<bigint>")
 
 
 def _own(found):
@@ -268,11 +273,24 @@ LAST = f"struct<start:int,stop:int,common:int,{HIT_TYPE}>"
 STATE = f"struct<last:{LAST},found:array<struct<{HIT_TYPE}>>>"
 
 
-def _run_hits(pairs, shared, known, threshold):
+STEPS = 16  # places a template's length is sought at within a stretch of its pairs
+
+
+def _enough(common, t, threshold):
+    """Whether ``common`` shared pairs can make a set agree with a template.
+
+    The set has at least the pairs it shares, so 2 * common / (common + size) bounds its Dice.
+    """
+    return F.lit(2.0) * common >= threshold * (common + t["size"])
+
+
+def _run_hits(pairs, shared, near, threshold):
     """Runs of ``pairs``, those of a text in order, that agree with a template: an array of hits.
 
-    ``shared`` are the distinct ones among them that any template has.
-    A run has as many words as the template and begins with one of its pairs, or ends the text.
+    ``shared`` are the distinct ones among them that any template has, ``near`` the templates that the
+    text shares enough with. A run has as many words as the template. It begins where a stretch of the
+    template's pairs begins, at its first pair, and in stretches wherever the place is a multiple of a
+    16th of its length; near the end of the text it ends the text.
     """
     n = F.size(pairs)
 
@@ -289,19 +307,38 @@ def _run_hits(pairs, shared, known, threshold):
             t["title"].alias("title"),
         )
 
-    def hits(t):
-        places = F.filter(F.sequence(F.lit(1), n), lambda i: F.array_contains(t["pairs"], F.element_at(pairs, i)))
-        places = F.array_distinct(F.transform(places, lambda i: F.least(i, n - t["length"] + 1)))
-        return F.filter(F.transform(places, lambda i: at(t, i)), lambda h: h["dice"] >= threshold)
+    def found(marks):
+        """The hits of all templates, the places of pairs that any template has being known."""
+
+        def hits(t):
+            step = F.greatest(F.floor(t["length"] / STEPS), F.lit(1)).cast("int")
+            last = n - t["length"] + 1
+            # Sharing fewer pairs, a run cannot agree; so many places of its pairs must lie in it.
+            least = F.ceil(threshold * t["size"] / (2 - threshold) - 1e-9).cast("int")
 
-    # A run has at least the pairs it shares, so 2 * common / (common + size) bounds its Dice; it
-    # shares at most what the whole text shares.
-    def enough(common, t):
-        return (F.lit(2.0) * common >= threshold * (common + t["size"])) & (n >= t["length"])
+            def of(own):
+                def begins(j):
+                    i = F.element_at(own, j)
+                    starts = (j == 1) | (F.element_at(own, F.greatest(j - 1, F.lit(1))) != i - 1)
+                    starts = starts | (F.element_at(pairs, i) == t["first"]) | (F.pmod(i, step) == 0)
+                    far = F.least(j + least - 1, F.size(own))
+                    full = (far == j + least - 1) & (F.element_at(own, far) < i + t["length"])
+                    return starts & ((i > last) | full)
 
-    near = F.filter(known, lambda t: enough(F.size(shared), t))
-    near = F.filter(near, lambda t: enough(F.size(F.array_intersect(shared, t["pairs"])), t))
-    return F.flatten(F.transform(near, hits))
+                some = F.when(F.size(own) > 0, F.sequence(F.lit(1), F.size(own)))
+                some = F.coalesce(some, F.array().cast("array<int>"))
+                places = F.transform(F.filter(some, begins), lambda j: F.least(F.element_at(own, j), last))
+                places = F.transform(F.array_distinct(places), lambda i: at(t, i))
+                return F.filter(places, lambda h: h["dice"] >= threshold)
+
+            own = F.filter(marks, lambda i: F.array_contains(t["pairs"], F.element_at(pairs, i)))
+            return F.transform(F.array(own), of)[0]
+
+        fitting = F.filter(near, lambda t: n >= t["length"])
+        return F.flatten(F.transform(fitting, hits))
+
+    marks = F.filter(F.sequence(F.lit(1), n), lambda i: F.array_contains(shared, F.element_at(pairs, i)))
+    return F.transform(F.array(marks), found)[0]
 
 
 def _run_licences(hits):
@@ -352,12 +389,13 @@ def dice_scan(docs, templates=TEMPLATES, threshold=THRESHOLD):
     empty and 0. Repeated rows are each answered; an empty table gives no rows.
     """
     known, every_pair = _templates(docs.sparkSession, templates)
-    def best(pairs):
+
+    def best(near, pairs):
         def dice(common, t):
             return F.lit(2.0) * common / (F.size(pairs) + t["size"])
 
         # No template agrees better than if the smaller set were part of the larger one.
-        near = F.filter(known, lambda t: dice(F.least(F.size(pairs), t["size"]), t) >= threshold)
+        near = F.filter(near, lambda t: dice(F.least(F.size(pairs), t["size"]), t) >= threshold)
         compared = F.transform(
             near,
             lambda t: F.struct(
@@ -369,14 +407,28 @@ def dice_scan(docs, templates=TEMPLATES, threshold=THRESHOLD):
         )
         return F.array_max(F.filter(compared, lambda c: c["dice"] >= threshold))
 
-    words = F.transform(units(F.col("text")), lambda u: F.split(normalised(u), " "))
-    ordered = pairs_in_order(F.split(normalised(F.col("text")), " "))
-    rows = docs.select("doc_id", F.transform(words, bigrams).alias("units"), ordered.alias("pairs"))
-    shared = F.array_intersect("pairs", every_pair)
-    rows = rows.select("doc_id", F.array_distinct("units").alias("units"), "pairs", shared.alias("shared"))
-    hits = _run_hits(F.col("pairs"), F.col("shared"), known, threshold)
-    rows = rows.select("doc_id", "units", hits.alias("hits"))
-    found = rows.select("doc_id", F.transform("units", best).alias("by_unit"), _run_licences(F.col("hits")).alias("by_run"))
+    def in_order(text):
+        # Bound to a name: within the lambda an expression would be computed again for every word.
+        return F.transform(F.array(F.split(normalised(text), " ")), pairs_in_order)[0]
+
+    text = F.col("text")
+    rows = docs.select("doc_id", "text", in_order(text).alias("pairs"))
+    # All pairs of a unit are pairs of the text, but where a comment mark is a word.
+    bare = F.regexp_replace(text, "(?dm)" + MARK, "")
+    more = F.when(text.rlike(r"(?dm)^[ \t]*(?:dnl|REM)\b"), in_order(bare)).otherwise(F.array().cast("array<long>"))
+    rows = rows.select("doc_id", "text", "pairs", F.array_intersect(F.concat("pairs", more), every_pair).alias("shared"))
+    near = F.filter(known, lambda t: _enough(F.size("shared"), t, threshold))
+    near = F.filter(near, lambda t: _enough(F.size(F.array_intersect("shared", t["pairs"])), t, threshold))
+    rows = rows.select("doc_id", "text", "pairs", "shared", near.alias("near"))
+    # A text that shares too little with every template as a whole has no unit or run that agrees.
+    any_near = F.size("near") > 0
+    words = F.transform(units(text), lambda u: F.split(normalised(u), " "))
+    each = F.array_distinct(F.transform(words, bigrams))
+    hits = _run_hits(F.col("pairs"), F.col("shared"), F.col("near"), threshold)
+    rows = rows.select(
+        "doc_id", "near", F.when(any_near, each).alias("units"), F.when(any_near, hits).alias("hits")
+    )
+    found = rows.select("doc_id", F.transform("units", lambda u: best(F.col("near"), u)).alias("by_unit"), _run_licences(F.col("hits")).alias("by_run"))
     found = found.select("doc_id", F.filter("by_unit", lambda m: m.isNotNull()).alias("by_unit"), "by_run")
     named = F.transform("by_unit", lambda m: m["name"])
     more = F.filter("by_run", lambda m: ~F.array_contains(named, m["name"]))

@@ -152,6 +152,19 @@ _TEMPLATES = ",\n    ".join(
     for number, template in enumerate(licenses.TEMPLATES)
 )
 
+_MARK = "(?m)" + licenses.MARK.replace("'", "''")
+_WORDS_OF = """string_split(trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"""
+_PAIRS_OF = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
+_HIT = "STRUCT(start BIGINT, stop BIGINT, common BIGINT, dice DOUBLE, ord INTEGER, name VARCHAR)"
+_FOUND = "STRUCT(dice DOUBLE, ord INTEGER, name VARCHAR)[]"
+# The found licences with one more hit: the best of each name.
+_WITH = """CASE WHEN len(list_filter({0}.found, lambda f: f.name = {0}.top.name AND f.dice >= {0}.top.dice)) > 0
+    THEN {0}.found ELSE list_append(list_filter({0}.found, lambda f: f.name <> {0}.top.name),
+        struct_pack(dice := {0}.top.dice, ord := {0}.top.ord, name := {0}.top.name)) END"""
+_CLASH = """s.top IS NOT NULL AND 2 * (least(s.top.stop, h.top.stop) - greatest(s.top.start, h.top.start))
+    >= least(s.top.stop - s.top.start, h.top.stop - h.top.start)"""
+_WORTH = "struct_pack(c := {0}.top.common, d := {0}.top.dice, o := {0}.top.ord)"
+
 OP8_SQL = f"""
 WITH templates(ord, name, title, body) AS (VALUES
     {_TEMPLATES}
@@ -159,19 +172,18 @@ WITH templates(ord, name, title, body) AS (VALUES
     SELECT row_number() OVER () AS r, doc_id, text FROM documents
 ), units AS (
     SELECT DISTINCT r, unnest(list_concat(string_split(text, chr(10)),
-        regexp_split_to_array(text, '\\n[ \\t]*\\n'), [text])) AS unit
+        regexp_split_to_array(text, '\n[ \t]*\n'),
+        CASE WHEN regexp_matches(text, '{_MARK}$') THEN
+            regexp_split_to_array(regexp_replace(text, '{_MARK}', '', 'g'), '\n[ \t]*\n')
+        ELSE [] END, [text])) AS unit
     FROM docs WHERE text IS NOT NULL
 ), texts AS (
     SELECT r, NULL AS ord, unit AS body FROM units
     UNION ALL SELECT NULL, ord, body FROM templates
 ), words AS (
-    SELECT r, ord, string_split(
-        trim(regexp_replace(lower(body), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w
-    FROM texts
+    SELECT r, ord, {_WORDS_OF.format("body")} AS w FROM texts
 ), pairs AS (
-    SELECT DISTINCT r, ord, list_sort(list_distinct(list_transform(
-        range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS p
-    FROM words WHERE len(w) > 1
+    SELECT DISTINCT r, ord, list_sort(list_distinct({_PAIRS_OF})) AS p FROM words WHERE len(w) > 1
 ), unit_pairs AS (
     SELECT r, row_number() OVER () AS u, p, len(p) AS a FROM pairs WHERE ord IS NULL
 ), template_pairs AS (
@@ -181,11 +193,57 @@ WITH templates(ord, name, title, body) AS (VALUES
     FROM unit_pairs JOIN template_pairs
       ON 2.0::DOUBLE * least(a, b) / (a + b) >= 0.8
 ), best AS (
-    SELECT r, u, max(struct_pack(dice := dice, ord := ord)) AS m
+    SELECT r, max(struct_pack(dice := dice, ord := ord)) AS m
     FROM dices WHERE dice >= 0.8 GROUP BY r, u
+), by_unit AS (
+    SELECT r, m.dice AS dice, m.ord AS ord, name FROM best JOIN templates ON templates.ord = m.ord
+), ordered AS (
+    SELECT r, {_PAIRS_OF} AS p FROM (SELECT r, {_WORDS_OF.format("text")} AS w FROM docs) WHERE len(w) > 1
+), known AS (
+    SELECT ord, name, p[1] AS head, len(p) AS size_all, list_distinct(p) AS q, len(list_distinct(p)) AS b,
+           greatest(len(p) // {licenses.STEPS}, 1) AS step
+    FROM (SELECT ord, name, {_PAIRS_OF} AS p
+          FROM (SELECT ord, name, {_WORDS_OF.format("body")} AS w FROM templates) WHERE len(w) > 1)
+), near AS (
+    SELECT *, len(p) - size_all + 1 AS last FROM (
+        SELECT *, len(list_intersect(d, q)) AS c
+        FROM (SELECT r, p, list_distinct(p) AS d FROM ordered) JOIN known ON len(p) >= size_all)
+    WHERE 2 * c >= 0.8 * (c + b)
+), places AS (
+    SELECT DISTINCT r, ord, unnest(list_transform(list_filter(range(1, len(p) + 1), lambda i:
+        list_contains(q, p[i]) AND (i = 1 OR p[i] = head OR i % step = 0 OR NOT list_contains(q, p[i - 1]))),
+        lambda i: least(i, last))) AS i
+    FROM near
+), runs AS (
+    SELECT r, ord, name, i, size_all, b, q, list_distinct(p[i : i + size_all - 1]) AS run
+    FROM places JOIN near USING (r, ord)
+), hits AS (
+    SELECT *, 2.0::DOUBLE * common / (len(run) + b) AS dice
+    FROM (SELECT *, len(list_intersect(run, q)) AS common FROM runs)
+), listed AS (
+    SELECT r, list(struct_pack(top := struct_pack(start := i, stop := i + size_all, common := common,
+                   dice := dice, ord := ord, name := name)::{_HIT}, found := []::{_FOUND})
+                   ORDER BY i, i + size_all, common, dice, ord) AS hits
+    FROM hits WHERE dice >= 0.8 GROUP BY r
+), folded AS (
+    SELECT r, list_reduce(hits, lambda s, h: struct_pack(
+        top := CASE WHEN {_CLASH} AND NOT {_WORTH.format("h")} > {_WORTH.format("s")} THEN s.top ELSE h.top END,
+        found := CASE WHEN s.top IS NULL OR ({_CLASH}) THEN s.found ELSE {_WITH.format("s")} END
+        ), struct_pack(top := NULL::{_HIT}, found := []::{_FOUND})) AS s
+    FROM listed
+), by_run AS (
+    SELECT r, unnest({_WITH.format("s")}) AS f FROM folded
+), every AS (
+    SELECT * FROM by_unit
+    UNION ALL SELECT r, f.dice, f.ord, f.name FROM by_run
+    WHERE (r, f.name) NOT IN (SELECT (r, name) FROM by_unit)
+), own AS (
+    SELECT * FROM every WHERE name <> 'BSD' OR r NOT IN (
+        SELECT r FROM every WHERE name IN ('BSD-2-Clause', 'BSD-3-Clause'))
 ), by_doc AS (
-    SELECT r, max(m) AS m, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, count(*) AS n
-    FROM best JOIN templates ON templates.ord = m.ord GROUP BY r
+    SELECT r, max(struct_pack(dice := dice, ord := ord)) AS m,
+           string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, count(*) AS n
+    FROM own GROUP BY r
 )
 SELECT doc_id, name AS license, title AS template, m.dice AS dice,
        coalesce(licenses, '') AS licenses, coalesce(n, 0) AS n_units
