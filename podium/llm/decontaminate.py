@@ -9,10 +9,12 @@ whole item of fewer words.
 import hashlib
 import re
 import uuid
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -210,16 +212,20 @@ def _segments(items, window, segment):
     return mapped(items.select(named, "text"), split, "item string, words string")
 
 
-def _automata(items, window, item_bytes):
-    """Broadcast (name, runs of item words), each small enough for one automaton."""
-    sc = items.sparkSession.sparkContext
+def _groups(items, window, item_bytes):
+    """Runs of item words as a table, and how many groups of about ``item_bytes`` they make."""
     runs = stored(_segments(items, window, max(SEGMENT, 2 * window)).distinct(), "items")
     total = runs.agg(F.sum(F.octet_length("words") + F.octet_length("item"))).first()[0] or 0
-    groups = max(1, -(-total // item_bytes))
+    return runs, max(1, -(-total // item_bytes))
+
+
+def _shared(runs, number, groups):
+    """Broadcast (name, runs of item words) of one group, small enough for one automaton."""
     group = F.pmod(F.xxhash64("item", "words"), F.lit(groups))
-    for g in range(groups):
-        rows = runs.filter(group == g).collect()  # about item_bytes of text
-        yield sc.broadcast((uuid.uuid4().hex, [(r["item"], r["words"]) for r in rows]))
+    rows = runs.filter(group == number).collect()  # about item_bytes of text
+    return runs.sparkSession.sparkContext.broadcast(
+        (uuid.uuid4().hex, [(r["item"], r["words"]) for r in rows])
+    )
 
 
 _built = {}
@@ -290,10 +296,13 @@ def marked(docs, items, names=("n_words", "spans", "items"), window=WINDOW, item
     The items may be of any size: each pass over the documents has one automaton of about
     ``item_bytes`` of item text, and later passes add to what the earlier ones found.
     """
-    rows = docs
-    for number, shared in enumerate(_automata(items, window, item_bytes)):
-        if number:
+    runs, groups = _groups(items, window, item_bytes)
+    rows, shared = docs, None
+    for number in range(groups):
+        if shared:
             rows = stored(rows, "marked")
+            shared.destroy()  # one group at a time is held
+        shared = _shared(runs, number, groups)
         rows = _marked(rows, shared, window, names)
     return rows
 
@@ -385,15 +394,17 @@ def decontaminated(docs, items, window=WINDOW, max_share=0.5, item_bytes=ITEM_BY
     All other rows stay as they are: clean, null, empty and repeated ones.
     """
     names = tuple(free(docs.columns, "n_words", "spans", "items"))
-    groups = list(_automata(items, window, item_bytes))
-    if len(groups) == 1:
-        return _cut_found(docs, groups[0], window, max_share)
-    rows = docs
-    while True:
-        for shared in groups:
+    runs, groups = _groups(items, window, item_bytes)
+    if groups == 1:
+        return _cut_found(docs, _shared(runs, 0, 1), window, max_share)
+    rows, done, share = docs, [], max_share
+    while not done or not rows.isEmpty():
+        for number in range(groups):
+            shared = _shared(runs, number, groups)
             rows = stored(_marked(rows, shared, window, names), "marked")
-        hit = not rows.filter(F.size(names[1]) > 0).isEmpty()
-        rows = _cut_marked(rows, names, max_share)
-        if not hit:
-            return rows
-        rows = stored(rows, "cut")
+            shared.destroy()
+        hit = F.size(names[1]) > 0
+        done.append(rows.filter(~hit).select(*docs.columns))
+        rows = stored(_cut_marked(rows.filter(hit), names, share), "cut")
+        share = 1.0  # what is dropped is decided by the first hits, of the whole text
+    return reduce(DataFrame.unionByName, done)

@@ -100,3 +100,19 @@ def test_empty(spark, docs):
     assert d.contamination(docs(), none).count() == 0
     assert [r.n_hit for r in d.contamination(docs("a b"), none).collect()] == [0]
     assert d.decontaminated(docs("a b"), none).count() == 1
+
+
+@pytest.mark.parametrize("item_bytes", [2 << 20, 30])
+def test_what_is_dropped_does_not_depend_on_the_number_of_automata(spark, docs, item_bytes):
+    def named(letter, n):
+        return [f"{letter}{i}" for i in range(n)]
+
+    a, b, f = named("a", 10), named("b", 10), named("f", 8)
+    texts = [" ".join([*b[:5], *a, *b[5:], *f]), " ".join(a + f), " ".join(a + f[:5]), "clean words", "", None]
+    items = spark.createDataFrame([("x", " ".join(a)), ("y", " ".join(b))], "item_id string, text string")
+    clash = docs(*texts).withColumnRenamed("lang", "spans")
+    got = d.decontaminated(clash, items, item_bytes=item_bytes)
+    assert got.columns == clash.columns
+    kept = {r.doc_id: r.text for r in got.collect()}
+    # The first hits are 10 of 28 words; those that then meet are 10 of 18. Two thirds are too many.
+    assert sorted(kept) == [0, 3, 4, 5] and kept[0].split() == f and kept[3] == "clean words"
