@@ -14,11 +14,11 @@ from pyspark.sql import types as T
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import oracle_queries  # noqa: E402
-from podium.operators import filters, ranking, standings, submissions  # noqa: E402
+from podium.operators import board_index, filters, ranking, standings, submissions  # noqa: E402
 from podium.plans import dashboards, reports, views  # noqa: E402
 from podium.session import scratch  # noqa: E402
 from podium.sources import demo, fixtures, sinks, tables  # noqa: E402
-from podium.streaming import activity, intake, live  # noqa: E402
+from podium.streaming import activity, intake, live, seen  # noqa: E402
 
 try:
     from podium.llm import queries as llm
@@ -129,22 +129,21 @@ def _answers(t):
 
 
 def _pipeline(t, rejects):
-    """Submissions in three files, out of time order, one batch each, from arrival to answer."""
+    """Submissions from arrival to answer in three batches, out of time order, the last played twice.
+
+    Every third is written as Spark deals it out, and taken by the query with the same checkpoint.
+    """
     base = scratch(t.spark, "submissions")
     given = fixtures.submissions_from_events(t.events)
-    for part in range(3):
-        given.filter(F.pmod("id", F.lit(3)) == part).coalesce(1).write.mode("append").parquet(
-            f"{base}/in"
-        )
-    stream = t.spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 1).parquet(
-        f"{base}/in"
-    )
-    _finish(
-        live.start_submissions(
-            stream, f"{base}/boards", f"{base}/answers", f"{base}/rejects", f"{base}/slots",
-            t.games, f"{base}/check", available_now=True, delay="60 days",
+    for part in (0, 1, 2, 2):
+        given.filter(F.pmod("id", F.lit(3)) == part).write.mode("append").parquet(f"{base}/in")
+        stream = t.spark.readStream.schema(given.schema).parquet(f"{base}/in")
+        _finish(
+            live.start_submissions(
+                stream, f"{base}/boards", f"{base}/answers", f"{base}/rejects", f"{base}/slots",
+                t.games, f"{base}/check", available_now=True, seen=f"{base}/seen",
+            )
         )
-    )
     if rejects:
         rows = t.spark.read.parquet(f"{base}/rejects")
         return rows.groupBy("game_id", "reject_reason").agg(F.count(F.lit(1)).alias("n"))
@@ -176,6 +175,20 @@ def _distinct_ids(t):
     return kept.agg(F.count(F.lit(1)).alias("submissions"), F.count_distinct("id").alias("ids"))
 
 
+def _unique_ids(t):
+    """Scores by halves of the time, then all of them once more: a replay a month late."""
+    base = scratch(t.spark, "unique")
+    early = F.col("submitted_at") <= F.lit(MIDWAY).cast("timestamp_ntz")
+    for rows in (t.scores.filter(early), t.scores.filter(~early), t.scores):
+        rows.write.mode("append").parquet(f"{base}/in")
+        stream = t.spark.readStream.schema(t.scores.schema).parquet(f"{base}/in")
+        _finish(seen.start_unique(stream, f"{base}/seen", f"{base}/out", f"{base}/check", available_now=True))
+    kept = t.spark.read.schema(t.scores.schema).parquet(f"{base}/out")
+    return kept.groupBy("game_id").agg(
+        F.count(F.lit(1)).alias("submissions"), F.sum("score").cast("decimal(22,2)").alias("score_sum")
+    )
+
+
 def _published(t):
     """Write a view as a table and read it back."""
     base = scratch(t.spark, "views")
@@ -206,6 +219,20 @@ def _live(t):
     return path
 
 
+def _indexed(t, scores=None, leaf=50):
+    """Where the best standings of ``scores`` lie as an index, in small leaves."""
+    path = scratch(t.spark, "index")
+    board_index.store_index(standings.best_standings(t.scores if scores is None else scores, t.games), t.games, path, leaf)
+    return path
+
+
+def _index_behind(t):
+    """A user's ranks by an index of the first half of the time and the standings since."""
+    early = F.col("submitted_at") <= F.lit(MIDWAY).cast("timestamp_ntz")
+    since = standings.best_standings(t.scores.filter(~early), t.games)
+    return board_index.changed_rank(t.spark, _indexed(t, t.scores.filter(early)), since, t.games, USER)
+
+
 def _after_clear(t):
     """Sizes of the boards left when one of them is cleared, with the session in dynamic mode."""
     path, mode = scratch(t.spark, "boards"), "spark.sql.sources.partitionOverwriteMode"
@@ -294,6 +321,14 @@ def _query_table():
         "stored_neighbours": lambda t: ranking.standing_neighbours(
             _stored(t), t.games, t.users, USER, GAME
         ),
+        "indexed_page": lambda t: board_index.indexed_page(
+            t.spark, _indexed(t), t.users, GAME, page=2, page_size=10
+        ),
+        "indexed_rank": lambda t: board_index.indexed_rank(t.spark, _indexed(t), USER),
+        "indexed_rank_behind": _index_behind,
+        "indexed_neighbours": lambda t: board_index.indexed_neighbours(
+            t.spark, _indexed(t, leaf=7), t.users, USER, GAME
+        ),
         "live_global_board": lambda t: ranking.standing_global_board(
             live.live_totals(t.spark, _live(t)), t.users
         ),
@@ -430,6 +465,7 @@ def _query_table():
         "stream_accepted": lambda t: _intake(t, True),
         "stream_rejected": lambda t: _intake(t, False),
         "stream_distinct_ids": _distinct_ids,
+        "stream_unique_ids": _unique_ids,
         "stream_busy_hours": lambda t: _stored_stream(
             t, intake.busy_minutes(t.score_stream(), limit=1, width="1 hour")
         ),

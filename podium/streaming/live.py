@@ -5,9 +5,7 @@ batch id. Replaying a batch replaces its folder, so nothing counts twice. Rows m
 of order: the fold takes the best score, and the latest one by (time, id). No state is kept in
 the query, so there is no watermark to drop late scores and no state that grows.
 
-Batches are filed in eras of ``ERA``. The first batch with rows of an era folds all before it into
-one summary there (batch id -1), so a reader opens one era: what has been played, once, and at most
-``ERA`` batches. Batches without rows may leave no folder, and whole eras may be left out.
+Batches are filed in eras (``eras.py``), so a reader opens a summary and at most ``ERA`` batches.
 """
 
 from pyspark.sql import functions as F
@@ -20,10 +18,9 @@ from podium.functions.values import best_of, event_key, is_highest
 from podium.operators.ranking import counted_ranks, ranked_standings
 from podium.operators.submissions import RATE_LIMIT, judged, rejected, valid
 from podium.schemas import SCORE
-from podium.session import subfolders
+from podium.streaming.eras import ERA, current_era, file_batch, fold_past
 from podium.streaming.intake import distinct_ids
-
-ERA = 100  # batches that share a folder
+from podium.streaming.seen import first_seen
 
 SLOTS = "user_id long, _slot timestamp_ntz, n long, day string, batch_id long"
 
@@ -73,33 +70,6 @@ def read_era(spark, path, era):
     return spark.read.schema(DELTA).parquet(f"{path}/era={era}")
 
 
-def _eras(spark, path):
-    return sorted(int(n[4:]) for n in subfolders(spark, path) if n.startswith("era="))
-
-
-def _fold_past(spark, path, era, batch_id):
-    """Write the summary of all before ``era`` there, if it is missing or may be half written.
-
-    The eras before are complete, so the first batch of an era, played again, writes the same.
-    """
-    earlier = [e for e in _eras(spark, path) if e < era]
-    if not earlier:
-        return
-    folders = subfolders(spark, f"{path}/era={era}") if era in _eras(spark, path) else []
-    batches = [int(n[9:]) for n in folders if n.startswith("batch_id=")]
-    if -1 not in batches or not any(0 <= b < batch_id for b in batches):
-        past = folded(read_era(spark, path, earlier[-1]))
-        past.write.mode("overwrite").parquet(f"{path}/era={era}/batch_id=-1")
-
-
-def current_era(spark, path):
-    """The last era that can be read: one with only its summary may still be being written."""
-    eras = _eras(spark, path)
-    if len(eras) > 1 and set(subfolders(spark, f"{path}/era={eras[-1]}")) <= {"batch_id=-1"}:
-        return eras[-2]
-    return eras[-1] if eras else 0
-
-
 def read_deltas(spark, path):
     """Summaries that together hold all batches."""
     return read_era(spark, path, current_era(spark, path))
@@ -139,9 +109,9 @@ def write_delta(path, every=ERA):
     """The foreachBatch function that stores a batch's summary."""
 
     def store(batch, batch_id):
-        era = batch_id // every
-        _fold_past(batch.sparkSession, path, era, batch_id)
-        summary(batch).write.mode("overwrite").parquet(f"{path}/era={era}/batch_id={batch_id}")
+        spark, era = batch.sparkSession, batch_id // every
+        fold_past(spark, path, era, batch_id, lambda e: folded(read_era(spark, path, e)))
+        file_batch(summary(batch), path, era, batch_id)
 
     return store
 
@@ -231,38 +201,42 @@ def start_answers(scores, path, results, games, checkpoint, available_now=False,
 # --- submissions, from arrival to answer ---------------------------------------------------
 
 
-def over_limit(batch, batch_id, slots, limit=RATE_LIMIT):
+def _read_slots(spark, slots, era):
+    return spark.read.schema(SLOTS).option("basePath", f"{slots}/era={era}").parquet(f"{slots}/era={era}")
+
+
+def _folded_slots(filed):
+    return filed.groupBy("user_id", "_slot", "day").agg(F.sum("n").alias("n"))
+
+
+def over_limit(batch, batch_id, slots, limit=RATE_LIMIT, every=ERA):
     """``batch`` with ``_over``: is it beyond the first ``limit`` of its user and minute?
 
-    The counts of each batch are filed by day under ``slots``; only the days of this batch and
-    earlier batches are looked up, so a replayed batch gets the same answer.
+    The counts of each batch are filed in eras under ``slots``, by day; only the days of this batch
+    and earlier batches are looked up, so a replayed batch gets the same answer.
     """
-    spark = batch.sparkSession
+    spark, era = batch.sparkSession, batch_id // every
+    fold_past(spark, slots, era, batch_id, lambda e: _folded_slots(_read_slots(spark, slots, e)), ["day"])
     slot = bucket("minute", "submitted_at")
-    rows = batch.withColumn("_slot", slot).withColumn("_day", F.to_date(slot))
-    counts = rows.groupBy("user_id", "_slot", "_day").agg(F.count(F.lit(1)).alias("n"))
-    days = [str(r["_day"]) for r in rows.select("_day").distinct().collect()]
-    filed = counts.withColumn("batch_id", F.lit(batch_id)).withColumn(
-        "day", F.col("_day").cast("string")
-    )
-    filed.drop("_day").write.partitionBy("day", "batch_id").option(
-        "partitionOverwriteMode", "dynamic"
-    ).mode("overwrite").parquet(slots)
-    seen = spark.read.schema(SLOTS).option("basePath", slots).parquet(
-        *(f"{slots}/day={day}" for day in days)
-    )
-    seen = seen.filter(F.col("batch_id") < batch_id).groupBy("user_id", "_slot").agg(
-        F.sum("n").alias("_seen")
-    )
+    rows = batch.withColumn("_slot", slot).withColumn("_day", F.to_date(slot).cast("string"))
+    counts = rows.groupBy("user_id", "_slot", F.col("_day").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    file_batch(counts.hint("rebalance", "day"), slots, era, batch_id, ["day"])
+    days = [r["_day"] for r in rows.select("_day").distinct().collect()]
+    filed = _read_slots(spark, slots, era).filter(F.col("day").isin(days) & (F.col("batch_id") < batch_id))
+    seen = filed.groupBy("user_id", "_slot").agg(F.sum("n").alias("_seen"))
     seq = Sequence(rows, ["user_id", "_slot"], ["submitted_at", "id"]).number("_place")
     placed = seq.done().join(seen, ["user_id", "_slot"], "left")
     over = F.col("_place") + F.coalesce("_seen", F.lit(0)) > limit
     return placed.withColumn("_over", over).select(*batch.columns, "_over")
 
 
-def submission_batch(path, results, rejects, slots, games, limit=RATE_LIMIT, bound=None, every=ERA):
+def submission_batch(
+    path, results, rejects, slots, games, limit=RATE_LIMIT, bound=None, every=ERA, seen=None
+):
     """The foreachBatch function that takes submissions all the way to their answers.
 
+    With ``seen``, the folder of the ids that were taken, a repeated id is left out, however late.
+
     Rows beyond the rate limit are rejected first, then those that break a rule; the rest are
     stored and answered. Every row ends in ``results`` or, with a reason, in ``rejects``.
     """
@@ -273,7 +247,8 @@ def submission_batch(path, results, rejects, slots, games, limit=RATE_LIMIT, bou
         try:
             if batch.isEmpty():
                 return
-            marked = over_limit(batch, batch_id, slots, limit).persist()
+            fresh = first_seen(batch, batch_id, seen, every) if seen else batch
+            marked = over_limit(fresh, batch_id, slots, limit, every).persist()
             slow = marked.filter(~F.col("_over")).drop("_over")
             fast = judged(marked.filter("_over").drop("_over"), games)
             fast = fast.withColumn("reject_reason", F.lit("rate_limited"))
@@ -291,11 +266,15 @@ def submission_batch(path, results, rejects, slots, games, limit=RATE_LIMIT, bou
 
 def start_submissions(
     submissions, path, results, rejects, slots, games, checkpoint, available_now=False,
-    limit=RATE_LIMIT, delay="1 hour", bound=None,
+    limit=RATE_LIMIT, delay="1 hour", bound=None, seen=None,
 ):
-    """Start the query from raw submissions to answers: dedup, rate limit, rules, boards, answer."""
-    store = submission_batch(path, results, rejects, slots, games, limit, bound)
-    return _started(distinct_ids(submissions, delay), store, checkpoint, available_now)
+    """Start the query from raw submissions to answers: dedup, rate limit, rules, boards, answer.
+
+    Repeated ids are dropped within ``delay`` of event time, or with the folder ``seen`` for ever.
+    """
+    store = submission_batch(path, results, rejects, slots, games, limit, bound, seen=seen)
+    given = submissions if seen else distinct_ids(submissions, delay)
+    return _started(given, store, checkpoint, available_now)
 
 
 def compact(spark, path, target):
