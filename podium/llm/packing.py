@@ -50,6 +50,10 @@ class Packer:
             pieces.append((start, end))
             start = end
 
+    def fills(self, pool):
+        """Whether the pool can fill a sequence to one of its limits."""
+        return bool((pool["need"].sum(axis=0) >= self.limits).any())
+
     def sequence(self, pool):
         """Take one sequence out of ``pool``, a dict of lists; returns its pieces."""
         need, state = pool["need"], pool["state"]
@@ -121,7 +125,8 @@ def _packing(tokenizer, id_type, prompt_column, end_id, packer, pool_size, keep_
 
         def drain(least):
             nonlocal number
-            while len(pool["state"]) > least:
+            # While more is to come, a sequence waits until there are tokens enough to fill it.
+            while len(pool["state"]) > least and (not least or packer.fills(pool)):
                 sequence = packer.sequence(pool)
                 full = sum(e - s for _, s, e in sequence)
                 last = not pool["state"] and full + packer.least_piece <= packer.max_tokens
@@ -183,7 +188,7 @@ def pack(
     tokenizer,
     end_id=1,
     max_tokens=2048,
-    max_segments=256,
+    max_segments=None,
     max_loss=None,
     prompt=None,
     pool_size=POOL,
@@ -194,16 +199,19 @@ def pack(
 
     An example's ids are those of ``prompt`` (a column; none for plain text), of its text, and
     ``end_id``; the loss is borne by what follows the prompt. A sequence has at most ``max_tokens``
-    tokens, ``max_segments`` pieces and ``max_loss`` loss-bearing tokens. Columns: doc_id, start
+    tokens, ``max_segments`` pieces and ``max_loss`` loss-bearing tokens; a limit that is not given
+    is that of the tokens, so it never ends a sequence early. Columns: doc_id, start
     and length of the piece among its example's ids, ids_crc32 (of the ids as little-endian
     uint32), doc_tokens, sequence_id, offset in the sequence; with ``keep_ids`` the ids.
 
     Null texts are empty: their end id alone is packed. Every id is in exactly one piece. Repeated
     rows and rows without doc_id are packed like others. Empty tables give no rows.
     """
-    if min(max_tokens, max_segments, max_loss or 1) < 1:
+    max_segments = max_tokens if max_segments is None else max_segments
+    max_loss = max_tokens if max_loss is None else max_loss
+    if min(max_tokens, max_segments, max_loss) < 1:
         raise ValueError("every limit must be at least 1")
-    packer = Packer(max_tokens, max_segments, max_loss or max_tokens, least_piece)
+    packer = Packer(max_tokens, max_segments, max_loss, least_piece)
     rows = docs.select("doc_id", "text", *([prompt] if prompt else []))
     schema = T.StructType(
         [

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from podium.llm.common import importable, mapped, utf8
+from podium.llm.common import importable, mapped, stored, utf8
 
 PIECE = 2000  # bytes compressed at once, so that the dictionary matters throughout a long text
 DICT_BYTES = 1 << 18
@@ -90,7 +90,8 @@ def fit(docs, labels, sample_rows=SAMPLE_ROWS, sample_pieces=SAMPLE_PIECES):
     """A ``Model`` from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality 0 or 1).
 
     Learns from at most ``sample_rows`` texts of each class, chosen by a hash of doc_id among all
-    labelled rows that are not held out; at most ``sample_pieces`` pieces of them reach the driver.
+    labelled doc_ids that are not held out; at most ``sample_pieces`` pieces of them reach the driver.
+    A doc_id counts once: of several labels the lower, of several texts the one with the least hash.
     The curve is fitted on texts measured with dictionaries they are not in, and is weighted by the
     number of labels of each class. Where a class has no texts, every
     score is the share of label 1, or 0.5 without labels.
@@ -98,16 +99,20 @@ def fit(docs, labels, sample_rows=SAMPLE_ROWS, sample_pieces=SAMPLE_PIECES):
     known = (
         labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
         .filter(~held_out(F.col("doc_id")))
-        .select("doc_id", F.col("quality").cast("int").alias("quality"))
+        .groupBy("doc_id")
+        .agg(F.min(F.col("quality").cast("int")).alias("quality"))
     )
     counts = dict(known.groupBy("quality").agg(F.count(F.lit(1))).collect())
     bad, good = counts.get(0, 0), counts.get(1, 0)
     # The smallest hashes: at most 2 * sample_rows rows, whatever the size of labels.
     order = F.xxhash64("doc_id")
     chosen = [known.filter(F.col("quality") == q).orderBy(order).limit(sample_rows) for q in (0, 1)]
-    sample = docs.select("doc_id", "text").join(
-        F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id"
+    # One text each, combined in the tasks that read them; read once, then from the shared folder.
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    sample = sample.groupBy("doc_id").agg(
+        F.min("quality").alias("quality"), F.min_by("text", F.xxhash64("text")).alias("text")
     )
+    sample = stored(sample, "sample")
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(2))
     # The texts of each half are measured with dictionaries of the other half.
     rows = []

@@ -93,6 +93,16 @@ def test_dot_product_choice():
     assert packer.powers([(0, 0, 60), (3, 0, 20)]) == [[(0, 0, 60), (3, 0, 4)], [(3, 4, 20)]]
 
 
+@pytest.mark.parametrize("tokens", range(1, 11))
+def test_short_texts_leave_little_padding(docs, library, tokens):
+    text = " a" * (tokens - 1)  # and the end id
+    assert len(library.encode(text, add_special_tokens=False).ids) == tokens - 1
+    got = packing.pack(docs(*[text] * 6000).coalesce(2), PATH)
+    lengths = [sum(r.length for r in rows) for rows in _check(got.collect(), 2048).values()]
+    padding = sum(2048 - n for n in lengths if n & (n - 1))
+    assert sum(lengths) == 6000 * tokens and padding < 0.01 * sum(lengths)
+
+
 def test_limits_must_be_positive(docs):
     with pytest.raises(ValueError):
         packing.pack(docs("a"), PATH, max_segments=0)
