@@ -18,7 +18,7 @@ from podium.operators import board_index, filters, ranking, standings, submissio
 from podium.plans import dashboards, reports, views  # noqa: E402
 from podium.session import scratch  # noqa: E402
 from podium.sources import demo, fixtures, sinks, tables  # noqa: E402
-from podium.streaming import activity, intake, live, seen  # noqa: E402
+from podium.streaming import activity, corrections, intake, live, seen  # noqa: E402
 
 try:
     from podium.llm import queries as llm
@@ -189,6 +189,30 @@ def _unique_ids(t):
     )
 
 
+def _corrected(t, kind):
+    """All scores in a first batch; in a second one in five deleted and one in seven halved."""
+    base = scratch(t.spark, "corrections")
+    row = F.struct("id", "user_id", "game_id", "score", "submitted_at")
+    image, none = row.cast(corrections.IMAGE), F.lit(None).cast(corrections.IMAGE)
+    gone, edited = F.col("id") % 5 == 0, F.col("id") % 7 == 0
+    halved = t.scores.withColumn("score", F.when(edited, F.bround(F.col("score") / 2, 0)).otherwise(F.col("score")).cast("decimal(12,2)"))
+    both = t.scores.select(image.alias("before"), "id").join(halved.select(image.alias("after"), "id"), "id")
+    after = F.when(~gone, F.col("after"))
+    batches = (
+        t.scores.select(none.alias("before"), image.alias("after")),
+        both.filter(gone | edited).select("before", after.alias("after")),
+    )
+    for rows in batches:
+        rows.write.mode("append").parquet(f"{base}/in")
+        stream = t.spark.readStream.schema(corrections.CHANGES).parquet(f"{base}/in")
+        _finish(
+            corrections.start_corrections(
+                stream, f"{base}/board", t.games, f"{base}/check", available_now=True, kind=kind
+            )
+        )
+    return corrections.corrected_board(t.spark, f"{base}/board", t.games, halved.filter(~gone), kind)
+
+
 def _published(t):
     """Write a view as a table and read it back."""
     base = scratch(t.spark, "views")
@@ -466,6 +490,8 @@ def _query_table():
         "stream_rejected": lambda t: _intake(t, False),
         "stream_distinct_ids": _distinct_ids,
         "stream_unique_ids": _unique_ids,
+        "stream_corrected_board": lambda t: _corrected(t, "best"),
+        "stream_corrected_latest": lambda t: _corrected(t, "latest"),
         "stream_busy_hours": lambda t: _stored_stream(
             t, intake.busy_minutes(t.score_stream(), limit=1, width="1 hour")
         ),
