@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import oracle_queries  # noqa: E402
 from podium.operators import board_index, filters, ranking, standings, submissions  # noqa: E402
-from podium.plans import dashboards, reports, views  # noqa: E402
+from podium.plans import daily, dashboards, reports, views  # noqa: E402
 from podium.session import scratch  # noqa: E402
 from podium.sources import demo, fixtures, sinks, tables  # noqa: E402
 from podium.streaming import activity, corrections, intake, live, seen  # noqa: E402
@@ -213,6 +213,34 @@ def _corrected(t, kind):
     return corrections.corrected_board(t.spark, f"{base}/board", t.games, halved.filter(~gone), kind)
 
 
+def _days(t):
+    """Where the scores lie as summaries by day: of the first half, then refreshed by the rest."""
+    path = scratch(t.spark, "days")
+    early = F.col("submitted_at") <= F.lit(MIDWAY).cast("timestamp_ntz")
+    daily.store_days(t.scores.filter(early), path)
+    daily.refresh_days(t.scores, t.scores.filter(~early), path)
+    return path
+
+
+def _estimates(t):
+    """Whether estimated players and quartiles of every game lie within their errors."""
+    path = _days(t)
+    exact = daily.distinct_players(t.spark, path).withColumnRenamed("unique_players", "exact")
+    players = daily.approximate_players(t.spark, path).join(exact, "game_id").select(
+        "game_id", (F.abs(F.col("unique_players") / F.col("exact") - 1) < 0.065).alias("players_near")
+    )
+    shares = (0.25, 0.5, 0.75)
+    found = daily.approximate_quantiles(t.spark, path, shares)
+    met = t.scores.join(F.broadcast(found), "game_id").groupBy("game_id").agg(  # a row a game
+        *(
+            ((F.avg((F.col("score") <= F.col(q)).cast("int")) >= s - 0.05)
+             & (F.avg((F.col("score") < F.col(q)).cast("int")) <= s + 0.05)).alias(f"{q}_near")
+            for s, q in ((s, f"q{round(100 * s)}") for s in shares)
+        )
+    )
+    return players.join(met, "game_id")
+
+
 def _published(t):
     """Write a view as a table and read it back."""
     base = scratch(t.spark, "views")
@@ -388,6 +416,14 @@ def _query_table():
         "score_distribution_orders": lambda t: reports.score_distribution(
             t.order_scores, ORDERS_AS_OF, "monthly"
         ),
+        "merged_performance": lambda t: daily.merged_performance(
+            t.spark, _days(t), t.games, "2024-01-03", "2024-01-20"
+        ),
+        "rolling_players": lambda t: daily.rolling_players(t.spark, _days(t)),
+        "rolling_players_of_games": lambda t: daily.rolling_players(
+            t.spark, _days(t), 30, by=("game_id",)
+        ),
+        "estimates_within_error": _estimates,
         "user_activity": lambda t: reports.user_activity(t.scores, t.users, AS_OF),
         "engagement_trend": lambda t: reports.engagement_trend(t.scores, AS_OF),
         "new_vs_returning": lambda t: reports.new_vs_returning(t.scores, t.users, AS_OF),
