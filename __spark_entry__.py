@@ -249,6 +249,26 @@ def _published(t):
     return t.spark.read.parquet(f"{base}/analytics_game_popularity")
 
 
+def _snapshot(t):
+    """Two views published together, twice, and one read from the second version."""
+    base = scratch(t.spark, "snapshots")
+    for scores in (t.scores.filter(F.col("game_id") == GAME), t.scores):
+        both = {
+            "game_analytics": views.game_analytics(scores, t.games),
+            "daily_metrics": views.daily_metrics(scores, t.users),
+        }
+        sinks.publish_snapshot(both, base)
+    return sinks.read_snapshot(t.spark, base, "daily_metrics")
+
+
+def _written_report(t):
+    """A report as written: its decimals formatted, its order kept, read back as text in that order."""
+    path = f"{scratch(t.spark, 'reports')}/game_performance"
+    report = reports.game_performance(t.scores, t.games, AS_OF)
+    sinks.write_report(report, path, "json", sinks.REPORT_ORDER["game_performance"])
+    return t.spark.read.schema(sinks.formatted(report).schema).json(path)
+
+
 def _rebuilt(t):
     """Rebuild the boards of games with a score of 400 or more, store them and read them back."""
     path = scratch(t.spark, "boards")
@@ -472,6 +492,8 @@ def _query_table():
             t.order_scores, t.order_games
         ),
         "published_game_popularity": _published,
+        "published_snapshot": _snapshot,
+        "written_report": _written_report,
         # lists and filters
         "scanned_tables": _scanned,
         "totals": lambda t: demo.totals(t.scores, t.games, t.users),

@@ -120,8 +120,14 @@ def span_days(start, end):
     return micros_between(start, end).cast("double") / F.lit(float(DAY_MICROS))
 
 
+UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
+
+
 def on_event_time(stream, delay):
-    """A stream with its watermark. Watermarks need the zoned type; the session zone is UTC."""
+    """A stream with its watermark. Watermarks need the zoned type, so the session zone must be UTC."""
+    zone = stream.sparkSession.conf.get("spark.sql.session.timeZone")
+    if zone not in UTC_NAMES:
+        raise ValueError(f"streams need spark.sql.session.timeZone=UTC, not {zone}: others shift times")
     zoned = stream.withColumn("submitted_at", F.col("submitted_at").cast("timestamp"))
     return zoned.withWatermark("submitted_at", delay)
 

@@ -5,6 +5,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from podium.functions.sizes import counted_broadcast, per_game
 from podium.functions.times import as_datetime, local_time
 
 
@@ -64,10 +65,30 @@ def _matches(query, cols):
     return reduce(lambda a, b: a & b, [_any_contains(w, cols) for w in query.split()], F.lit(True))
 
 
+def _found_words(query, cols):
+    """The words of the query that occur in some column, as bits."""
+    bits = [F.when(_any_contains(w, cols), 1 << i).otherwise(0) for i, w in enumerate(query.split())]
+    return reduce(lambda a, b: a + b, bits, F.lit(0)).cast("bigint")
+
+
 def search_scores(scores, games, users, query):
-    """Scores whose user email, user name or game name hold every word of ``query``."""
-    return with_names(scores, games, users).filter(
-        _matches(query, ["user_email", "user_name", "game_name"])
+    """Scores whose user email, user name or game name hold every word of ``query``.
+
+    Users and games are searched first. A score needs a user that has the words its game lacks, so
+    only users with any of the words meet the scores, and names are attached to what was found.
+    """
+    every = (1 << len(query.split())) - 1
+    kinds = games.select(
+        "game_id", "game_name", "score_type", _found_words(query, ["game_name"]).alias("_in_game")
+    )
+    people = users.select("user_id", _found_words(query, ["email", "name"]).alias("_in_user"))
+    people = counted_broadcast(people.filter("_in_user <> 0"))
+    met = scores.join(per_game(kinds, games), "game_id").join(people, "user_id", "left")
+    both = F.col("_in_game").bitwiseOR(F.coalesce("_in_user", F.lit(0)))
+    found = met.filter(both == every)
+    names = users.select("user_id", F.col("email").alias("user_email"), F.col("name").alias("user_name"))
+    return found.join(names, "user_id").select(
+        *scores.columns, "game_name", "score_type", "user_email", "user_name"
     )
 
 
@@ -85,16 +106,17 @@ def facet(rows, col):
 
 
 def score_facets(scores, games):
-    """Counts by game and by score type as (facet, value, count)."""
+    """Counts by game and by score type as (facet, value, count), from one pass over the scores."""
     by_game = scores.groupBy("game_id").agg(F.count(F.lit(1)).alias("n"))
     named = by_game.join(games.select("game_id", "game_name", "score_type"), "game_id")
-
-    def part(name, col):
-        return named.groupBy(F.lit(name).alias("facet"), F.col(col).alias("value")).agg(
-            F.sum("n").alias("count")
-        )
-
-    return part("game", "game_name").unionByName(part("score_type", "score_type"))
+    sets = named.groupingSets([["game_name"], ["score_type"]], "game_name", "score_type")
+    counts = sets.agg(F.sum("n").alias("count"), F.grouping("game_name").alias("_of_type"))
+    of_type = F.col("_of_type") == 1
+    return counts.select(
+        F.when(of_type, "score_type").otherwise("game").alias("facet"),
+        F.when(of_type, F.col("score_type")).otherwise(F.col("game_name")).alias("value"),
+        "count",
+    )
 
 
 def game_facets(games, tz="UTC"):

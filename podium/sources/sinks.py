@@ -3,6 +3,9 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from podium.sources.versions import current_version, publish_version
+
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 MONEY = "decimal(12,2)"
 RATE = "decimal(10,2)"
 SHARE = "decimal(5,4)"
@@ -73,7 +76,9 @@ def write_report(report, path, fmt="json", order=()):
     rows = formatted(report)
     if order:
         rows = rows.orderBy(*(F.desc(c[1:]) if c[0] == "-" else F.asc(c) for c in order))
-    rows.write.mode("overwrite").format(fmt).save(path)
+    # As text, times would else end with their milliseconds.
+    writer = rows.write.option("timestampNTZFormat", MICROS).option("timestampFormat", f"{MICROS}XXX")
+    writer.mode("overwrite").format(fmt).save(path)
 
 
 def publish(views, path=None, prefix="analytics_", drop_existing=False):
@@ -100,6 +105,20 @@ def publish(views, path=None, prefix="analytics_", drop_existing=False):
     return names
 
 
+def publish_snapshot(views, path, prefix="analytics_"):
+    """Write all ``views`` (name to DataFrame) as one version: readers find all of them new, or all old."""
+    spark = next(iter(views.values())).sparkSession
+    return publish_version(spark, path, lambda folder: publish(views, folder, prefix))
+
+
+def read_snapshot(spark, path, name, prefix="analytics_"):
+    """A view of the last published version; it stays that version until it is cleared."""
+    folder = current_version(spark, path)
+    if folder is None:
+        raise FileNotFoundError(f"nothing published at {path}")
+    return spark.read.parquet(f"{folder}/{prefix}{name}")
+
+
 def drop_views(spark, names, prefix="analytics_"):
     for name in names:
         spark.catalog.dropTempView(f"{prefix}{name}")

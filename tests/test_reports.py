@@ -217,3 +217,32 @@ def test_dashboards(world):
     assert mix == [(1, "Alpha", 1, 0, 0), (2, "Beta", 0, 0, 1)]
     moves = rows(dashboards.segment_transitions(scores), "from_segment", "to_segment", "transitions")
     assert moves == [("Casual", "Beginner", 1)]
+
+
+def test_search_by_words_of_user_and_game(make, spark):
+    games = make.games((1, "Alpha run", "highest"), (2, "Beta", "lowest"))
+    users = make.users((1, "Ann Run"), (2, "Bob"), (3, ""))
+    scores = make.scores(*((i, u, g, 5, "2024-01-01 00:00:00") for i, (u, g) in enumerate(
+        [(1, 1), (2, 1), (3, 1), (1, 2), (2, 2), (3, 2), (9, 1)]
+    )))
+
+    def ids(query):
+        return [r[0] for r in rows(filters.search_scores(scores, games, users, query), "id")]
+
+    named = filters.with_names(scores, games, users)
+    for query in ("", "run", "alpha run", "RUN beta", "beta ann", "u2@ beta", "nobody", "a a a", "e b"):
+        want = named.filter(filters._matches(query, ["user_email", "user_name", "game_name"]))
+        assert ids(query) == [r[0] for r in rows(want, "id")]
+    found = filters.search_scores(scores, games, users, "beta ann")
+    assert sorted(found.columns) == sorted(named.columns)
+
+
+def test_facets_scan_the_scores_once(make, tmp_path, spark):
+    games = make.games((1, "a", "highest"), (2, "b", "highest"), (3, "highest", "lowest"))
+    path = str(tmp_path / "scores")
+    make.scores(*((i, 1, 1 + i % 3, 5, "2024-01-01 00:00:00") for i in range(7))).write.parquet(path)
+    facets = filters.score_facets(spark.read.parquet(path), games)
+    assert facets._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    assert rows(facets) == [
+        ("game", "a", 3), ("game", "b", 2), ("game", "highest", 2), ("score_type", "highest", 5), ("score_type", "lowest", 2)
+    ]

@@ -116,3 +116,21 @@ def test_scratch_lies_in_the_shared_folder(spark):
     assert spark.sparkContext.getCheckpointDir()
     one, two = scratch(spark, "a"), scratch(spark, "a")
     assert one != two and one.startswith(base.rstrip("/")) and one.endswith("/a")
+
+
+def test_snapshots_are_whole(make, spark, tmp_path):
+    path = str(tmp_path / "views")
+
+    def two(n, *more):
+        return {"a": spark.range(n), "b": spark.range(n).select(F.col("id") * 2, *more)}
+
+    with pytest.raises(FileNotFoundError):
+        sinks.read_snapshot(spark, path, "a")
+    sinks.publish_snapshot(two(2), path)
+    held = sinks.read_snapshot(spark, path, "b")
+    with pytest.raises(Exception, match="lost"):
+        sinks.publish_snapshot(two(5, F.raise_error(F.lit("lost"))), path)
+    assert sinks.read_snapshot(spark, path, "a").count() == 2
+    sinks.publish_snapshot(two(3), path)
+    assert [sinks.read_snapshot(spark, path, n).count() for n in "ab"] == [3, 3]
+    assert held.count() == 2
