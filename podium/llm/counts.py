@@ -6,9 +6,12 @@ carries how many tokens the word so far gains by the byte. It rests on two facts
 tokens of a word without the last are the tokens of that part alone, and a sequence of tokens is
 the BPE result just when each neighbouring pair is. States are made when first met.
 
-A text is cut into chunks anywhere. A chunk's state map says what it does to whatever comes before:
-it lengthens an unfinished word, closes it, counts the words inside, and leaves another unfinished.
-The maps compose associatively, so they are scanned like sums.
+A text is cut into chunks anywhere. Between words the transducer is in its first state whatever came
+before, so a chunk's state map says what it does to an unfinished word: it lengthens it, or closes it,
+counts the words inside, and leaves another unfinished. Words end at white space and wherever the
+tokenizer's own pattern parts two characters, so texts without white space have maps as short. The maps
+compose associatively, so they are scanned like sums. Only a word that goes on over chunks, letters or
+signs alone, is put together again and read in one go.
 """
 
 import json
@@ -243,7 +246,11 @@ class Counter:
         """The state map of a chunk."""
         words = text.split() if not SEPARATORS.search(text) else WHITE.split(text)
         if len(words) == 1 and len(words[0]) == len(text):
-            return Map(None, 0, text)
+            cuts = [m.start() for m in PARTED.finditer(text)]
+            if not cuts:
+                return Map(None, 0, text)
+            inside = self.word(text[cuts[0] : cuts[-1]])
+            return Map(text[: cuts[0]], inside, text[cuts[-1] :])
         words = [w for w in words if w]
         head = words.pop(0) if words and not WHITE.match(text) else ""
         tail = words.pop() if words and not WHITE.match(text[-1]) else ""
@@ -269,6 +276,13 @@ class Counter:
 # White space of the tokenizer's pattern. Python's own also has the four separators below.
 WHITE = regex.compile(r"[\p{Z}\t-\r\x85]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
+# Places where the pattern always parts a text without white space: at a digit, and between a letter and
+# a sign, but for the signs of short forms and special tokens. All ASCII, so no accent joins across them.
+_SIGNS = r"!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~"
+PARTED = re.compile(
+    rf"(?<=[0-9])(?=[0-9A-Za-z{_SIGNS}])|(?<=[A-Za-z{_SIGNS}])(?=[0-9])"
+    rf"|(?<=[A-Za-z])(?=[{_SIGNS}])|(?<=[{_SIGNS}])(?=[A-Za-z])"
+)
 
 
 def scanned(maps, compose):

@@ -76,3 +76,25 @@ def test_empty_and_other_files(docs):
     assert counts.token_counts(docs(), PATH).count() == 0
     with pytest.raises(ValueError):
         counts.Counter(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_texts_without_white_space_compose(library, made):
+    rand = random.Random(11)
+    signs = "etaoin" * 3 + "ETAO0123456789'<|>.,;:!?/-_=+()[]{}@#$%^&*~`\"\\éΣ́한²"
+    texts = ["".join(rand.choice(signs) for _ in range(rand.randrange(1, 400))) for _ in range(300)]
+    texts += [t.replace("0", "<|endoftext|>").replace("1", "'s") for t in texts]
+    want = [len(e) for e in library.encode_batch(texts, add_special_tokens=False)]
+    for chunk in (2, 5, 64, 1 << 16):
+        made.chunk = chunk
+        assert [made.count(t) for t in texts] == want
+    made.chunk = counts.CHUNK
+    code = "".join(rand.choice("abcdefABCDEF0123456789+/") for _ in range(300_000))
+    for at in range(0, len(code), made.chunk):
+        found = made.map(code[at : at + made.chunk])
+        assert found.head is not None and len(found.head) + len(found.tail) < 200
+    assert made.count(code) == len(library.encode(code, add_special_tokens=False))
+
+
+def test_names_that_clash(docs):
+    clash = docs("one two", None).withColumnRenamed("lang", "n_tokens").withColumnRenamed("source", "n_bytes")
+    assert sorted(r.n_tokens for r in counts.token_counts(clash, PATH).collect()) == [0, 2]
