@@ -18,7 +18,7 @@ from podium.operators import board_index, filters, ranking, standings, submissio
 from podium.plans import daily, dashboards, reports, views  # noqa: E402
 from podium.session import scratch  # noqa: E402
 from podium.sources import demo, fixtures, sinks, tables  # noqa: E402
-from podium.streaming import activity, corrections, intake, live, seen  # noqa: E402
+from podium.streaming import activity, corrections, intake, keyed, live, seen  # noqa: E402
 
 try:
     from podium.llm import queries as llm
@@ -122,6 +122,17 @@ def _live_standings(t):
     return live.live_standings(t.spark, path, t.games)
 
 
+def _keyed_standings(t):
+    """Scores by halves of the time, the later half first, the query restarted in between."""
+    base = scratch(t.spark, "keyed")
+    early = F.col("submitted_at") <= F.lit(MIDWAY).cast("timestamp_ntz")
+    for rows in (t.scores.filter(~early), t.scores.filter(early)):
+        rows.write.mode("append").parquet(f"{base}/in")
+        stream = t.spark.readStream.schema(t.scores.schema).parquet(f"{base}/in")
+        _finish(keyed.start_keyed(stream, f"{base}/out", f"{base}/check", available_now=True))
+    return keyed.keyed_standings(t.spark, f"{base}/out", t.games)
+
+
 def _answers(t):
     path, out, check = (scratch(t.spark, n) for n in ("standings", "answers", "check"))
     _finish(live.start_answers(t.score_stream(), path, out, t.games, check, available_now=True))
@@ -535,6 +546,7 @@ def _query_table():
         "engagement_funnel": lambda t: dashboards.engagement_funnel(t.scores, t.users),
         # streams
         "stream_live_standings": _live_standings,
+        "stream_keyed_standings": _keyed_standings,
         "stream_answers": _answers,
         "stream_pipeline": lambda t: _pipeline(t, False),
         "stream_pipeline_rejects": lambda t: _pipeline(t, True),
