@@ -59,19 +59,25 @@ class Packer:
         need, state = pool["need"], pool["state"]
         free, taken = self.limits.copy(), []
         open_ = np.ones(len(need), bool)
+        tokens, loss = need[:, 0].copy(), need[:, 2].copy()
+        # What does not fit now never will in this sequence. All need one segment.
+        fitting = np.arange(len(need))
         while free[1] >= 1 and free[0] > 0:
-            fits = open_ & (need <= free).all(axis=1)
-            score = (need / self.limits) @ (free / self.limits)
-            if fits.any():
-                at = int(np.where(fits, score, -1).argmax())
+            fitting = fitting[(tokens[fitting] <= free[0]) & (loss[fitting] <= free[2])]
+            toward = free / self.limits**2
+            if len(fitting):
+                best = int((tokens[fitting] * toward[0] + loss[fitting] * toward[2]).argmax())
+                at = int(fitting[best])
                 example, start, end, prompt = state[at]
                 taken.append((example, start, end))
                 free -= need[at]
                 open_[at] = False
+                fitting = np.delete(fitting, best)
                 continue
             # None fits as a whole: cut the best of those that have enough to give.
-            best = np.where(open_, score, -1)
-            for at in np.argsort(-best)[:8]:
+            best = np.where(open_, need @ toward, -1)
+            first = np.argpartition(-best, 8)[:8] if len(best) > 8 else np.arange(len(best))
+            for at in first[np.argsort(-best[first])].tolist():
                 if best[at] < 0:
                     break
                 example, start, end, prompt = state[at]
@@ -82,7 +88,9 @@ class Packer:
                     need[at] = [end - to, 1, self.loss(prompt, to, end)]
                     break
             break
-        pool["need"], pool["state"] = need[open_], [s for s, o in zip(state, open_, strict=True) if o]
+        pool["need"] = need[open_]
+        for at in np.flatnonzero(~open_)[::-1].tolist():
+            del state[at]
         return taken
 
     def powers(self, pieces):
