@@ -107,11 +107,15 @@ def fit(docs, labels, sample_rows=SAMPLE_ROWS, sample_pieces=SAMPLE_PIECES):
     # The smallest hashes: at most 2 * sample_rows rows, whatever the size of labels.
     order = F.xxhash64("doc_id")
     chosen = [known.filter(F.col("quality") == q).orderBy(order).limit(sample_rows) for q in (0, 1)]
-    # One text each, combined in the tasks that read them; read once, then from the shared folder.
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
-    sample = sample.groupBy("doc_id").agg(
-        F.min("quality").alias("quality"), F.min_by("text", F.xxhash64("text")).alias("text")
-    )
+    chosen = F.broadcast(chosen[0].unionByName(chosen[1]))
+    sample = docs.select("doc_id", "text").join(chosen, "doc_id")
+    rows = docs.select("doc_id").join(chosen, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if not rows.filter("n > 1").isEmpty():
+        # One text each, combined in the tasks that read them.
+        sample = sample.groupBy("doc_id").agg(
+            F.min("quality").alias("quality"), F.min_by("text", F.xxhash64("text")).alias("text")
+        )
+    # Read once, then from the shared folder.
     sample = stored(sample, "sample")
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(2))
     # The texts of each half are measured with dictionaries of the other half.
@@ -121,6 +125,7 @@ def fit(docs, labels, sample_rows=SAMPLE_ROWS, sample_pieces=SAMPLE_PIECES):
         if all(others):
             measured = measures(sample.filter(part == half), *others, keep=("quality",))
             rows += measured.select("quality", "measure").collect()
+    rows.sort()  # the same curve whatever task a row came from
     y = np.array([r[0] for r in rows], float)
     if not len(y) or y.min() == y.max():
         share = good / (good + bad) if good + bad else 0.5
