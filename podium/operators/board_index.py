@@ -1,9 +1,10 @@
 """Boards stored by rank: a page, a rank or a player's surroundings open a few files of any board.
 
 An index holds three tables. ``rows`` has every member with the rank, cut into leaves of equal numbers of
-ranks, a folder and a file each, so a page lies in one leaf or two. ``tops`` is the directory: the first
-rank and position of every leaf, one file per game. ``members`` has the same rows dealt by user into
-buckets, sorted by user, so one user's standings lie in one bucket.
+ranks, so a page lies in one leaf or two. A leaf has a folder and a file; where small leaves are many,
+some that follow each other share one, named by the first of them, so files do not grow with the leaves.
+``tops`` is the directory: the first rank and position of every leaf, one file per game. ``members`` has
+the same rows dealt by user into buckets, sorted by user, so one user's standings lie in one bucket.
 
 What changed since an index was made need not be in it: ``changed`` standings are counted in place of the
 ones the index has for the same users.
@@ -20,6 +21,7 @@ from podium.session import pinned
 from podium.sources.versions import current_version, existing, publish_version
 
 LEAF = 50_000  # ranks in a leaf
+FILES = 64  # leaves beyond this number share files of at most LEAF ranks
 BUCKET = 500_000  # rows of a bucket of members, about
 MOST_BUCKETS = 50_000
 
@@ -42,13 +44,25 @@ TOPS = T.StructType(
         T.StructField("game_id", T.LongType()),
     ]
 )
-SIZES = "leaf_rows long, buckets long"
+SIZES = "leaf_rows long, buckets long, together long"
 
 
 def _bucket(buckets):
     return F.pmod(F.xxhash64("user_id"), F.lit(buckets))
 
 
+def _leaf(leaf_rows):
+    """The number of the leaf a rank lies in."""
+    return F.floor((F.col("rank") - 1) / leaf_rows)
+
+
+def _together(keyed, leaf):
+    """How many leaves share a file: one, unless they are small and many."""
+    sizes = keyed.groupBy("game_id").agg(F.count(F.lit(1)).alias("n"))
+    leaves = sizes.agg(F.sum(F.ceil(F.col("n") / leaf))).first()[0] or 0
+    return max(1, min(-(-leaves // FILES), LEAF // leaf))
+
+
 def store_index(board, games, path, leaf=LEAF, bound=None):
     """Index the standings ``board`` (game_id, user_id, score) as a new version under ``path``."""
     spark = board.sparkSession
@@ -56,8 +70,9 @@ def store_index(board, games, path, leaf=LEAF, bound=None):
     def write(folder):
         keyed = pinned(_keyed(board, games, False))
         ranked = numbered(keyed, ["game_id"], _order(False), "rank", bound)
-        ranked = ranked.withColumn("leaf", F.floor((F.col("rank") - 1) / leaf))
-        # A leaf is written by one task, so it is one file, sorted by rank.
+        together = _together(keyed, leaf)
+        ranked = ranked.withColumn("leaf", _leaf(leaf * together) * together)  # the first of its file
+        # The leaves of a file are written by one task, so it is one file, sorted by rank.
         dealt = ranked.repartition("game_id", "leaf").sortWithinPartitions("game_id", "leaf", "rank")
         dealt.select(*ROWS.names).write.partitionBy("game_id", "leaf").parquet(f"{folder}/rows")
         rows = spark.read.schema(ROWS).parquet(f"{folder}/rows")
@@ -65,7 +80,7 @@ def store_index(board, games, path, leaf=LEAF, bound=None):
         by_user = rows.withColumn("bucket", _bucket(buckets)).repartition("bucket")
         by_user = by_user.sortWithinPartitions("bucket", "user_id").select(*MEMBERS.names, "bucket")
         by_user.write.partitionBy("bucket").parquet(f"{folder}/members")
-        tops = rows.groupBy("game_id", "leaf").agg(
+        tops = rows.withColumn("leaf", _leaf(leaf)).groupBy("game_id", "leaf").agg(
             F.min("rank").alias("first_rank"),
             F.min(F.struct("rank", "_key", "_member")).alias("first"),
             F.max("rank").alias("last"),
@@ -77,7 +92,8 @@ def store_index(board, games, path, leaf=LEAF, bound=None):
         tops = tops.repartition("game_id").sortWithinPartitions("game_id", "first_rank")
         tops.write.partitionBy("game_id").parquet(f"{folder}/tops")
         # Written last: with it the version is whole.
-        sizes = spark.range(1).select(F.lit(leaf).cast("long").alias("leaf_rows"), F.lit(buckets).cast("long").alias("buckets"))
+        numbers = {"leaf_rows": leaf, "buckets": buckets, "together": together}
+        sizes = spark.range(1).select(*(F.lit(n).cast("long").alias(name) for name, n in numbers.items()))
         sizes.write.parquet(f"{folder}/sizes")
 
     return publish_version(spark, path, write)
@@ -93,6 +109,7 @@ class Index:
             raise FileNotFoundError(f"no index at {path}")
         sizes = spark.read.schema(SIZES).parquet(f"{self.folder}/sizes").first()
         self.leaf_rows, self.buckets = sizes["leaf_rows"], sizes["buckets"]
+        self.together = sizes["together"] or 1  # an older index has a file for every leaf
 
     def _read(self, schema, table, folders):
         """Rows of the named folders of a table, without listing the others."""
@@ -104,12 +121,24 @@ class Index:
 
     def ranks(self, game_id, first, last):
         """The rows of ranks first..last (from 1) of a game: of the leaves that hold them."""
-        leaves = range(max(0, first - 1) // self.leaf_rows, (last - 1) // self.leaf_rows + 1)
-        return self.leaves([(game_id, n) for n in leaves]).filter(F.col("rank").between(first, last))
+        size = self.leaf_rows * self.together
+        files = range(max(0, first - 1) // size, (last - 1) // size + 1)
+        rows = self._files([(game_id, n * self.together) for n in files])
+        return rows.filter(F.col("rank").between(first, last))
 
     def leaves(self, wanted):
         """The rows of leaves: pairs of game_id and number."""
-        return self._read(ROWS, "rows", [f"game_id={g}/leaf={n}" for g, n in wanted])
+        files = {(g, n - n % self.together) for g, n in wanted}
+        rows = self._files(sorted(files))
+        if self.together == 1:
+            return rows
+        some = F.broadcast(self.spark.createDataFrame(wanted, "game_id long, leaf long"))  # as many as asked for
+        return rows.join(some, ["game_id", "leaf"], "left_semi").select(*ROWS.names)
+
+    def _files(self, wanted):
+        """The rows of files: pairs of game_id and the number of their first leaf."""
+        rows = self._read(ROWS, "rows", [f"game_id={g}/leaf={n}" for g, n in wanted])
+        return rows.withColumn("leaf", _leaf(self.leaf_rows))
 
     def tops(self, games):
         """The directories of some games."""

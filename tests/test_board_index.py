@@ -109,6 +109,29 @@ def test_files_opened(spark, tables, plain):
     assert leaves.groupBy("game_id", "leaf").count().agg(F.max("count")).first()[0] == 1
 
 
+def test_small_leaves_share_files(spark, tables, plain):
+    """Many small leaves lie in few files, and each is still found alone."""
+    scores, games, users = tables
+    early, late = scores.filter("id % 3 > 0"), scores.filter("id % 3 = 0")
+    path = scratch(spark, "shared")
+    board_index.store_index(standings.best_standings(early, games), games, path, leaf=1)
+    index = board_index.Index(spark, path)
+    stored = spark.read.parquet(f"{index.folder}/rows")
+    leaves = stored.count()
+    assert leaves > board_index.FILES
+    assert len(stored.inputFiles()) <= board_index.FILES + 3  # games
+    assert index.tops([1, 2, 3]).count() == leaves  # the directory knows every leaf
+    assert files_read(index.ranks(1, 1, index.together)) == 1
+    assert files_read(index.ranks(1, index.together, index.together + 1)) == 2
+    for wanted in ([(1, 4)], [(1, 3), (2, 4), (1, 5)], [(4, 0)], []):
+        got = index.leaves(wanted).select("game_id", "leaf", "rank").collect()
+        assert sorted(map(tuple, got)) == sorted((g, n, n + 1) for g, n in wanted if g != 4)
+    since = standings.best_standings(late, games)
+    for user in (1, 8, 30):
+        got = board_index.changed_rank(spark, path, since, games, user)
+        assert rows(got) == rows(ranking.user_rank(scores, games, user).select(*got.columns))
+
+
 def test_no_index(spark):
     with pytest.raises(FileNotFoundError):
         board_index.Index(spark, scratch(spark, "none"))
