@@ -23,24 +23,29 @@ PLAIN = r"^0*\d{1,10}(?:\.\d{0,2}0*)?$"
 NUMBER = r"^([+-]?)(?:(\d+)(?:\.(\d*))?|\.(\d+))(?:[eE]([+-]?)(\d+))?$"
 
 
-def _digits(text):
-    """(sign, significant digits, how many of them are decimals) of the text of a number.
+def _with_digits(rows):
+    """``rows`` (_text, _plain) with the sign, the significant digits and how many of them are decimals.
 
     Nothing is rounded: zeros at either end are taken off and the exponent moves the point. Beyond
-    nine digits an exponent counts as the largest of nine.
+    nine digits an exponent counts as the largest of nine. Each step is a column of its own, so the
+    steps after it use it again and do not match the text anew; plain texts have nulls.
     """
     def part(n):
-        return F.regexp_extract(text, NUMBER, n)
-
-    every = F.regexp_replace(F.concat(part(2), part(3), part(4)), "^0+", "")
-    digits = F.regexp_replace(every, "0+$", "")
-    shift = F.regexp_replace(part(6), "^0+", "")
-    shift = F.when(F.length(shift) > 9, F.lit(999_999_999)).otherwise(
-        F.coalesce(shift.try_cast("int"), F.lit(0))
+        return F.regexp_extract("_text", NUMBER, n)
+
+    odd = ~F.coalesce("_plain", F.lit(False))
+    parts = F.struct(*(part(n).alias(f"p{n}") for n in range(1, 7)))
+    rows = rows.withColumn("_parts", F.when(odd, parts))
+    every = F.regexp_replace(F.concat("_parts.p2", "_parts.p3", "_parts.p4"), "^0+", "")
+    rows = rows.withColumn("_every", every).withColumn("_shift", F.regexp_replace("_parts.p6", "^0+", ""))
+    shift = F.when(F.length("_shift") > 9, F.lit(999_999_999)).otherwise(
+        F.coalesce(F.col("_shift").try_cast("int"), F.lit(0))
     )
-    shift = F.when(part(5) == "-", -shift).otherwise(shift)
-    decimals = F.length(F.concat(part(3), part(4))) - shift - (F.length(every) - F.length(digits))
-    return part(1), digits, decimals
+    rows = rows.withColumn("_digits", F.regexp_replace("_every", "0+$", "")).withColumn("_shift", shift)
+    shift = F.when(F.col("_parts.p5") == "-", -F.col("_shift")).otherwise(F.col("_shift"))
+    zeros = F.length("_every") - F.length("_digits")
+    decimals = F.length(F.concat("_parts.p3", "_parts.p4")) - shift - zeros
+    return rows.withColumn("_sign", F.col("_parts.p1")).withColumn("_decimals", decimals)
 
 
 def judged(submissions, games):
@@ -51,29 +56,30 @@ def judged(submissions, games):
     The games table is the static side, so this also runs on a stream.
     """
     known = games.select("game_id", F.col("is_active").alias("_active"))
-    text = F.trim(F.col("score").cast("string"))
-    sign, digits, decimals = _digits(text)
     joined = submissions.join(known, "game_id", "left")
+    joined = joined.withColumn("_text", F.trim(F.col("score").cast("string")))
+    joined = _with_digits(joined.withColumn("_plain", F.col("_text").rlike(PLAIN)))
+    text, plain, sign, digits, decimals = map(F.col, ("_text", "_plain", "_sign", "_digits", "_decimals"))
     reason = (
         F.when(F.col("_active").isNull(), "game_not_found")
         .when(~F.col("_active"), "game_inactive")
         # Nearly all texts end here; only others have their digits taken apart.
-        .when(text.rlike(PLAIN), F.lit(None))
+        .when(plain, F.lit(None))
         .when(~F.coalesce(text.rlike(NUMBER), F.lit(False)), "score_not_a_number")
         .when((sign == "-") & (digits != ""), "score_negative")
         .when((digits != "") & (decimals > DECIMALS), "too_many_decimals")
         .when((digits != "") & (F.length(digits) - decimals > WHOLE_DIGITS), "too_many_digits")
     )
-    number = F.when(text.rlike(PLAIN), text).when(digits == "", F.lit("0")).otherwise(text)
-    return joined.select(
+    number = F.when(plain, text).when(digits == "", F.lit("0")).otherwise(text)
+    return joined.withColumn("_reason", reason).select(
         "id",
         "user_id",
         "game_id",
         F.col("score").alias("raw_score"),
-        F.when(reason.isNull(), number.try_cast(SCORE)).alias("score"),
+        F.when(F.col("_reason").isNull(), number.try_cast(SCORE)).alias("score"),
         "submitted_at",
         F.coalesce("metadata", F.lit("{}")).alias("metadata"),
-        reason.alias("reject_reason"),
+        F.col("_reason").alias("reject_reason"),
     )
 
 

@@ -258,6 +258,7 @@ def submission_batch(
             answer(valid(checked), batch_id)
             checked.unpersist()
             marked.unpersist()
+            fresh.unpersist()
         finally:
             batch.unpersist()
 

@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from podium.session import scratch
 from podium.streaming import eras, live, seen
 from tests.conftest import rows
 
@@ -54,3 +56,16 @@ def test_slots_are_folded_by_era(make, spark, tmp_path):
             assert [r[0] for r in rows(over, "_over")] == [batch_id >= 3] * 2
     filed = live._read_slots(spark, slots, 2)
     assert rows(filed.groupBy("batch_id").sum("n")) == [(-1, 8), (4, 2), (5, 2)]
+
+
+def test_new_rows_are_found_once(spark):
+    """The rows are held for all who use them: filing their ids, counting, judging."""
+    path = scratch(spark, "held")
+    batch = spark.createDataFrame(
+        [(1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "d")], "id long, note string"
+    ).withColumn("submitted_at", F.lit("2024-01-01 10:00:00").cast("timestamp_ntz"))
+    for n, ids in ((0, [-1, -1, 1, 2]), (0, [-1, -1, 1, 2]), (1, [-1, -1])):
+        new = seen.first_seen(batch, n, path)
+        assert new.storageLevel.useMemory
+        assert sorted(r["id"] or -1 for r in new.collect()) == ids
+        new.unpersist()

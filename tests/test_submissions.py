@@ -127,3 +127,21 @@ def test_sessions(make, bound):
         "user_id", F.session_window("submitted_at", "30 minutes")
     ).count()
     assert rows(native, "user_id", "count") == [(1, 1), (1, 3), (2, 1)]
+
+
+def test_odd_texts_are_taken_apart_once(spark, make):
+    """Each part of a text is matched once a row, however many rules and columns use it."""
+    games = make.games((1, "High", "highest"))
+    texts = ["5", "-1", "1.001", "1e3", "1.50e1", "abc", "1" + "0" * 30, "-0.00", None]
+    given = spark.createDataFrame(
+        [(i, 1, 1, t, None) for i, t in enumerate(texts)],
+        "id long, user_id long, game_id long, score string, metadata string",
+    ).withColumn("submitted_at", F.lit("2024-01-01 10:00:00").cast("timestamp_ntz"))
+    judged = subs.judged(given, games)
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 6
+    found = [(None if r["score"] is None else float(r["score"]), r["reject_reason"]) for r in judged.orderBy("id").collect()]
+    assert found == [
+        (5.0, None), (None, "score_negative"), (None, "too_many_decimals"), (1000.0, None), (15.0, None),
+        (None, "score_not_a_number"), (None, "too_many_digits"), (0.0, None), (None, "score_not_a_number"),
+    ]
